@@ -18,4 +18,14 @@ ORACLES = {
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '')) AS kept_sha256
         FROM marked GROUP BY doc_id
     """,
+    "op8_warc_revisits": """
+        WITH payloads AS (
+            SELECT page_id, coalesce(html, '') AS payload, octet_length(encode(coalesce(html, ''))) AS payload_bytes FROM pages),
+        hashed AS (SELECT page_id, payload_bytes, sha256(payload) AS payload_digest FROM payloads),
+        firsts AS (SELECT payload_digest, min(page_id) AS first_id FROM hashed WHERE payload_bytes >= 100 GROUP BY payload_digest)
+        SELECT page_id, payload_bytes::BIGINT AS payload_bytes, h.payload_digest,
+               CASE WHEN page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+        FROM hashed h LEFT JOIN firsts f ON h.payload_digest = f.payload_digest
+    """,
 }
