@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import decontamination, html_text, language_id, line_dedup, mixing, prefix_forest, quality, simhash, warc
+from claimloom.llm import decontamination, html_text, language_id, line_dedup, mixing, paragraphs, prefix_forest, quality, simhash, warc
 from claimloom.llm.runtime import checkpoint_dir, fold_bucket, table
 
 SOURCE_WEIGHTS, MIX_EPOCHS = (5, 2, 1), 3
@@ -35,6 +35,10 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.repeated_paragraphs(table(spark, sf_dir, "documents"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_chars=10, min_docs=2)
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -73,6 +77,7 @@ QUERIES = {
         op2_simhash_near_dedup,
         op3_decontamination,
         op4_html_extraction,
+        op5_substring_dedup,
         op6_line_dedup,
         op7_nearest_neighbours,
         op8_warc_revisits,
