@@ -28,8 +28,10 @@ SCRIPTS = (
     ("kana", ((0x3040, 0x30FF), (0x31F0, 0x31FF))),
     ("han", ((0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x323AF))),
 )
-#: Hashed trigrams of a model, characters scored at a time, and the log odds that a language switch must overcome.
-TRIGRAMS, CHARS, SWITCH = 1 << 16, 1 << 22, 12.0
+#: Hashed trigrams of a model, and the log odds that a language switch must overcome.
+TRIGRAMS, SWITCH = 1 << 16, 12.0
+#: Characters whose trigrams are scored at a time, and characters whose paths are sought together.
+CHARS, PATH_CHARS = 1 << 20, 1 << 23
 UNKNOWN = "und"
 
 _script_table: list[np.ndarray] = []
@@ -63,11 +65,11 @@ def letters_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return (h >> np.uint32(16)).astype(np.int32), script[at], script[at - 1] == 0, number
 
 
-def chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts with about CHARS characters each; a text is never split."""
+def chunks(texts: list[str], chars: int) -> Iterator[tuple[int, int]]:
+    """Ranges of texts with about so many characters each; a text is never split."""
     begin, held = 0, 0
     for k, t in enumerate(texts):
-        if held and held + len(t) > CHARS:
+        if held and held + len(t) > chars:
             yield begin, k
             begin, held = k, 0
         held += len(t) + 1
@@ -104,7 +106,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", bound
         scripts = np.zeros((len(names), len(SCRIPTS) + 2), np.int64)
         for batch in batches:
             texts, langs = batch.column(0).to_pylist(), np.array([names[x] for x in batch.column(1).to_pylist()])
-            for a, b in chunks(texts):
+            for a, b in chunks(texts, CHARS):
                 gram, script, _, number = letters_of(texts[a:b])
                 lang = langs[a:b][number]
                 grams += np.bincount(lang * TRIGRAMS + gram, minlength=grams.size).reshape(grams.shape)
@@ -153,6 +155,20 @@ def best_paths(scores: np.ndarray, ends: np.ndarray, switch: float) -> np.ndarra
     return path
 
 
+def word_scores(texts: list[str], model: LanguageModel) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the words of all texts, in order: log odds of each language, number of letters, number of the text."""
+    parts = [(np.zeros((0, len(model.languages)), np.float32), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for a, b in chunks(texts, CHARS):
+        gram, script, begins, number = letters_of(texts[a:b])
+        if len(gram):
+            first = np.flatnonzero(begins)
+            scores = np.add.reduceat(model.scores[gram], first, axis=0)
+            allowed = model.allowed[script[first]]
+            scores[~allowed & allowed.any(1, keepdims=True)] -= 1e4
+            parts.append((scores, np.diff(np.append(first, len(gram))), a + number[first]))
+    return tuple(map(np.concatenate, zip(*parts, strict=True)))
+
+
 def label_texts(texts: list[str | None], model: LanguageModel, switch: float = SWITCH, with_spans: bool = False) -> list[tuple]:
     """(language, score, spans) of each text. The language is that of most letters on the best path; score is the
     letters' mean probability of it, word by word; spans are (language, first word, words)."""
@@ -160,16 +176,10 @@ def label_texts(texts: list[str | None], model: LanguageModel, switch: float = S
     whole = [t or "" for t in texts]
     if not model.languages:
         return out
-    for a, b in chunks(whole):
-        gram, script, begins, number = letters_of(whole[a:b])
-        if not len(gram):
+    for a, b in chunks(whole, PATH_CHARS):
+        scores, letters, owner = word_scores(whole[a:b], model)
+        if not len(owner):
             continue
-        first = np.flatnonzero(begins)
-        scores = np.add.reduceat(model.scores[gram], first, axis=0)
-        allowed = model.allowed[script[first]]
-        scores[~allowed & allowed.any(1, keepdims=True)] -= 1e4
-        letters = np.diff(np.append(first, len(gram)))
-        owner = number[first]
         ends = np.searchsorted(owner, np.arange(b - a), side="right")
         path = best_paths(scores, ends, switch)
         odds = np.exp(scores - scores.max(1, keepdims=True))
