@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.runtime import BLANKS, ascii_lower
+from claimloom.llm.runtime import BLANKS, ascii_lower, cut, join_by_key
 
 
 def lines_of(text: Column) -> Column:
@@ -31,15 +31,18 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     lines = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_ld_id"), line.alias("_ld_pos", "_ld_line"))
     lines = lines.select("_ld_id", "_ld_pos", line_key(F.col("_ld_line")).alias("_ld_key")).where(F.char_length("_ld_key") >= min_chars)
     lines = lines.select("_ld_id", "_ld_pos", F.xxhash64("_ld_key").alias("_ld_h1"), F.xxhash64(F.lit("line"), F.col("_ld_key")).alias("_ld_h2"))
+    lines = cut(lines)  # 40 bytes a line
+    by_key, n = lines.groupBy("_ld_h1", "_ld_h2"), F.count("*").alias("_ld_n")
     if min_docs == 2:  # two distinct ids: the least is not the greatest
-        repeated = lines.groupBy("_ld_h1", "_ld_h2").agg(F.min("_ld_id").alias("_ld_keeper"), F.max("_ld_id").alias("_ld_last")).where("_ld_keeper < _ld_last")
+        repeated = by_key.agg(F.min("_ld_id").alias("_ld_keeper"), F.max("_ld_id").alias("_ld_last"), n).where("_ld_keeper < _ld_last")
     else:
-        held = lines.groupBy("_ld_h1", "_ld_h2", "_ld_id").agg(F.lit(1).alias("_ld_one"))
-        repeated = held.groupBy("_ld_h1", "_ld_h2").agg(F.min("_ld_id").alias("_ld_keeper"), F.count("*").alias("_ld_n")).where(F.col("_ld_n") >= min_docs)
-    dropped = lines.join(repeated.select("_ld_h1", "_ld_h2", "_ld_keeper"), ["_ld_h1", "_ld_h2"]).where(F.col("_ld_id") != F.col("_ld_keeper"))
+        held = lines.groupBy("_ld_h1", "_ld_h2", "_ld_id").agg(n)
+        repeated = held.groupBy("_ld_h1", "_ld_h2").agg(F.min("_ld_id").alias("_ld_keeper"), F.count("*").alias("_ld_ids"), F.sum("_ld_n").alias("_ld_n"))
+        repeated = repeated.where(F.col("_ld_ids") >= min_docs)
+    dropped = join_by_key(lines, repeated, ["_ld_h1", "_ld_h2"], "_ld_n").where(F.col("_ld_id") != F.col("_ld_keeper"))
     dropped = dropped.groupBy("_ld_id").agg(F.collect_set("_ld_pos").alias("_ld_dropped"))
-    joined = docs.join(dropped, F.col(id_col) == F.col("_ld_id"), "left")
-    parts = lines_of(F.col(text_col))
+    joined = docs.join(dropped, F.col(id_col) == F.col("_ld_id"), "left").withColumn("_ld_parts", lines_of(F.col(text_col)))
+    parts = F.col("_ld_parts")
     kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_ld_dropped"))
     whole = F.coalesce(F.col(text_col), F.lit(""))
     text = F.when(F.col("_ld_dropped").isNull(), whole).otherwise(F.array_join(F.transform(kept, lambda k: F.get(parts, k)), "\n"))
