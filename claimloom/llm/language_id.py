@@ -31,7 +31,7 @@ SCRIPTS = (
 #: Hashed trigrams of a model, and the log odds that a language switch must overcome.
 TRIGRAMS, SWITCH = 1 << 16, 12.0
 #: Characters whose trigrams are scored at a time, and characters whose paths are sought together.
-CHARS, PATH_CHARS = 1 << 20, 1 << 23
+CHARS, PATH_CHARS = 1 << 19, 1 << 22
 UNKNOWN = "und"
 
 _script_table: list[np.ndarray] = []

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm.runtime import cut
+from claimloom.llm.runtime import cut, join_by_key
 
 #: Fixed values of the format.
 CRLF = "\r\n"
@@ -51,9 +51,9 @@ def revisits(rows: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     urls and digests are aggregated by digest before and after the shuffle.
     """
     long = rows.where((F.col("bytes") >= least_bytes) & F.col("page_id").isNotNull()).select("page_id", "url", "digest")
-    first = long.groupBy("digest").agg(F.min(F.struct("page_id", "url")).alias("first"), F.max("page_id").alias("last")).where("first.page_id < last")
-    first = first.select("digest", F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url"))
-    return long.select("page_id", "digest").join(first, "digest").where("page_id > first_id").distinct()
+    first = long.groupBy("digest").agg(F.min(F.struct("page_id", "url")).alias("first"), F.max("page_id").alias("last"), F.count("*").alias("n")).where("first.page_id < last")
+    first = first.select("digest", "n", F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url"))
+    return join_by_key(long.select("page_id", "digest"), first, ["digest"], "n").drop("n").where("page_id > first_id").distinct()
 
 
 def records(rows: DataFrame, date: str) -> DataFrame:
@@ -154,7 +154,9 @@ def resolved_records(spark: SparkSession, folder: str) -> DataFrame:
     found = cut(read(spark, folder, with_payload=False).drop("payload"))
     responses = found.where("record_type = 'response'").groupBy("record_id").agg(F.min("page_id").alias("refers_to"), F.max("payload_bytes").alias("bytes"), F.max("payload_digest").alias("digest"))
     revisits = found.where("record_type = 'revisit'")
-    joined = revisits.join(responses.withColumnRenamed("record_id", "refers_to_id"), "refers_to_id", "left")
+    referred = revisits.groupBy("refers_to_id").agg(F.count("*").alias("n"))
+    known = referred.join(responses, F.col("refers_to_id") == F.col("record_id"), "left").drop("record_id")
+    joined = join_by_key(revisits.drop("payload_bytes", "payload_digest"), known, ["refers_to_id"], "n")
     columns = ("page_id", "url", "record_type")
     own = found.where("record_type = 'response'").select(*columns, "payload_bytes", "payload_digest", F.lit(None).cast("long").alias("refers_to"))
     return own.unionByName(joined.select(*columns, F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "refers_to"))
