@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.llm.components import connected_components
-from claimloom.llm.runtime import cut
+from claimloom.llm.runtime import cut, join_by_key
 
 #: At a Jaccard similarity of 0.8, a pair shares one of 12 bands of 4 with probability 1 - (1 - 0.8 ** 4) ** 12 = 0.998.
 BANDS, ROWS = 12, 4
@@ -21,6 +21,9 @@ SHINGLE, MIN_WORDS, SIMILARITY = 5, 50, 0.8
 #: Shingles that are hashed against all permutations at a time; bounds the memory of one very long paragraph.
 BLOCK = 1 << 14
 
+#: Paragraphs of a band up to which each pair is a row; larger bands are compared in blocks of about so many.
+PAIRED, BAND_BLOCK = 16, 256
+
 _rng = np.random.default_rng(20_240_101)
 _MULTIPLY = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 _ADD = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -101,50 +104,102 @@ def jaccard(a: Column, b: Column) -> Column:
     return udf(a, b)
 
 
+def shared_counts(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """How many hashes each two of the sets share, by products of their incidence matrix, some columns at a time."""
+    rows = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(ids, kind="stable")
+    rows, ids = rows[order], ids[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for c in range(0, int(ids[-1]) + 1, columns):
+        a, b = np.searchsorted(ids, (c, c + columns))
+        some = np.zeros((len(sets), columns), np.float32)
+        some[rows[a:b], ids[a:b] - c] = 1
+        out += some @ some.T
+    return out
+
+
+def roots_of(linked: np.ndarray) -> np.ndarray:
+    """The least number that each row of a symmetric matrix of links reaches."""
+    linked = linked | np.eye(len(linked), dtype=bool)
+    root = np.arange(len(linked))
+    while True:
+        least = np.where(linked, root[None, :], len(linked)).min(1)
+        least = least[least]
+        if (least == root).all():
+            return root
+        root = least
+
+
+def linked_in_blocks(members: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) that connect what similarity links within the bands of members (band, n, pid, text, bands).
+
+    A band's paragraphs are dealt into blocks of about BAND_BLOCK; every two blocks, and every block with itself, meet
+    in one task, which compares all pairs whose first common band this is.
+    """
+    blocks = F.ceil(F.col("n") / BAND_BLOCK).cast("int")
+    dealt = members.withColumn("own", F.pmod(F.xxhash64("pid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("band", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "pid", "text", "bands")
+
+    def compare(key: tuple, held: pd.DataFrame) -> pd.DataFrame:
+        if len(held) < 2:
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        bands, pid = np.stack(held["bands"].to_numpy()).astype(np.int64), held["pid"].to_numpy(np.int64)
+        number = int(np.flatnonzero(bands[0] == key[0])[0])
+        met = np.zeros((len(pid), len(pid)), bool)
+        for k in range(number):
+            met |= bands[:, k, None] == bands[None, :, k]
+        sets = [np.unique(shingle_hashes(words_of(t))) for t in held["text"]]
+        both = shared_counts(sets)
+        sizes = np.array([len(x) for x in sets], np.float32)
+        linked = ~met & (both >= similarity * (sizes[:, None] + sizes[None, :] - both) - 1e-3)
+        root = roots_of(linked)
+        moved = np.flatnonzero(root != np.arange(len(pid)))
+        return pd.DataFrame({"a": pid[root[moved]], "b": pid[moved]})
+
+    return dealt.groupBy("band", "low", "high").applyInPandas(compare, "a long, b long")
+
+
 def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """One row for each paragraph that has a like elsewhere: doc_id, position, words, component, copies, removed.
 
     A paragraph is a line with at least min_words words. Equal ones (by words, A-Z lower-cased) meet as one. Of the
     different ones, those that share a band are compared by the exact Jaccard similarity of their five-word shingles
     and linked if it is at least `similarity`; component numbers name connected ones. Of a component, the paragraph
-    with the least id, then position, stays, all others are marked removed; copies counts its paragraphs. Every band's
-    paragraphs are first compared with its least one; only those that this leaves in different components
-    are then compared with each other, so that a large group of likes costs few comparisons and no link is lost.
+    with the least id, then position, stays, all others are marked removed; copies counts its paragraphs. In bands
+    of over PAIRED paragraphs the comparisons are made in blocks, inside tasks of a fixed size, and only what joins
+    components comes out of them; no link is lost.
     Null texts and ids have no paragraphs, repeated rows count once, an empty table gives no rows.
     """
     found = cut(paragraph_table(docs, id_col, text_col, min_words))
     distinct = found.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "position", "bands")).alias("x"), F.count("*").alias("n"))
-    distinct = cut(distinct.select("h1", "h2", F.monotonically_increasing_id().alias("pid"), "x.doc_id", "x.position", "x.bands"))
+    distinct = cut(distinct.select("h1", "h2", F.monotonically_increasing_id().alias("pid"), "n", "x.doc_id", "x.position", "x.bands"))
     bands = distinct.select("pid", F.explode("bands").alias("band"))
-    shared = bands.groupBy("band").agg(F.min("pid").alias("least"), F.max("pid").alias("last")).where("least < last").select("band", "least")
-    members = cut(bands.join(shared, "band"))
+    shared = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    members = cut(join_by_key(bands, shared, ["band"], "n"))
 
     needed = members.select("pid").distinct().join(distinct.select("pid", "doc_id", "position"), "pid").withColumnRenamed("doc_id", "of")
     lines = docs.select(F.col(id_col).cast("long").alias("of"), F.col(text_col).alias("whole"))
     texts = needed.groupBy("of").agg(F.collect_list(F.struct("pid", "position")).alias("wanted")).join(lines, "of")
-    parts = F.split("whole", "\n", -1)
-    texts = texts.select(F.explode(F.transform("wanted", lambda w: F.struct(w["pid"].alias("pid"), F.get(parts, w["position"]).alias("text")))).alias("x")).select("x.pid", "x.text")
+    texts = texts.withColumn("parts", F.split("whole", "\n", -1))
+    texts = texts.select("parts", F.explode("wanted").alias("w")).select("w.pid", F.get("parts", F.col("w.position")).alias("text"))
     texts = cut(texts.where("text is not null").dropDuplicates(["pid"]))
 
     def linked(pairs: DataFrame) -> DataFrame:
         sides = pairs.join(texts.toDF("a", "a_text"), "a").join(texts.toDF("b", "b_text"), "b")
         return cut(sides.where(jaccard(F.col("a_text"), F.col("b_text")) >= similarity).select("a", "b"))
 
-    first = members.where("pid != least").select(F.col("least").alias("a"), F.col("pid").alias("b")).distinct()
-    links = linked(first)
-    roots = connected_components(links, "a", "b")
-    placed = members.join(roots, F.col("pid") == F.col("node"), "left").select("band", "pid", F.coalesce("component", "pid").alias("root"))
-    split = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band")
-    open_ = cut(placed.join(split, "band"))
-    other = open_.select("band", F.col("pid").alias("b"), F.col("root").alias("b_root"))
-    rest = open_.withColumnsRenamed({"pid": "a", "root": "a_root"}).join(other, "band").where("a < b and a_root != b_root").select("a", "b").distinct()
-    links = links.unionByName(linked(rest.join(first, ["a", "b"], "left_anti")))
-    roots = connected_components(links, "a", "b")
-
-    named = distinct.join(roots, F.col("pid") == F.col("node"), "left").select("h1", "h2", F.coalesce("component", "pid").alias("component"))
-    rows = found.select("doc_id", "position", "words", "h1", "h2").distinct().join(named, ["h1", "h2"])
+    few = members.where(F.col("n") <= PAIRED).select("band", "pid")
+    pairs = few.withColumnRenamed("pid", "a").join(few.withColumnRenamed("pid", "b"), "band").where("a < b").select("a", "b").distinct()
+    sides = pairs.join(texts.toDF("a", "a_text"), "a").join(texts.toDF("b", "b_text"), "b")
+    links = sides.where(jaccard(F.col("a_text"), F.col("b_text")) >= similarity).select("a", "b")
+    many = members.where(F.col("n") > PAIRED).join(texts, "pid").join(distinct.select("pid", "bands"), "pid")
+    roots = connected_components(links.unionByName(linked_in_blocks(many, similarity)), "a", "b")
+
+    named = distinct.join(roots, F.col("pid") == F.col("node"), "left").select("h1", "h2", "n", F.coalesce("component", "pid").alias("component"))
+    rows = join_by_key(found.select("doc_id", "position", "words", "h1", "h2").distinct(), named, ["h1", "h2"], "n").drop("n")
     kept = rows.groupBy("component").agg(F.min(F.struct("doc_id", "position")).alias("kept"), F.count("*").alias("copies")).where("copies > 1")
-    out = rows.join(kept, "component")
+    out = join_by_key(rows, kept, ["component"], "copies")
     first_one = (F.col("doc_id") == F.col("kept.doc_id")) & (F.col("position") == F.col("kept.position"))
     return out.select("doc_id", "position", "words", F.col("kept.doc_id").alias("component"), F.col("kept.position").alias("component_position"), "copies", (~first_one).alias("removed"))
 
@@ -153,8 +208,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """docs with text_col rid of the paragraphs that repeated_paragraphs marks as removed; null texts stay null."""
     marked = repeated_paragraphs(docs, id_col, text_col, **how).where("removed")
     gone = marked.groupBy(F.col("doc_id").alias("__of")).agg(F.collect_set("position").alias("__gone"))
-    parts = F.split(F.col(text_col), "\n", -1)
+    parts = F.col("__parts")
     left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__gone"))
     text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda k: F.get(parts, k)), "\n"))
-    joined = docs.join(gone, F.col(id_col) == F.col("__of"), "left")
+    joined = docs.join(gone, F.col(id_col) == F.col("__of"), "left").withColumn("__parts", F.split(F.col(text_col), "\n", -1))
     return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns])
