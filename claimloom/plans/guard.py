@@ -114,14 +114,14 @@ def guarded_sql(spark: SparkSession, sql: str, views: dict[str, Callable[[SparkS
 
 def run(df: DataFrame, timeout_s: float = TIMEOUT_S) -> list[dict]:
     """The rows as dicts; the query is interrupted after timeout_s and then refused."""
-    spark, tag, late = df.sparkSession, f"guard-{uuid.uuid4()}", threading.Event()
+    context, tag, late = df.sparkSession.sparkContext, f"guard-{uuid.uuid4()}", threading.Event()
 
     def stop() -> None:
         late.set()
-        spark.interruptTag(tag)
+        context.cancelJobsWithTag(tag)
 
     timer = threading.Timer(timeout_s, stop)
-    spark.addTag(tag)
+    context.addJobTag(tag)
     timer.start()
     try:
         return [r.asDict(recursive=True) for r in df.collect()]
@@ -131,7 +131,7 @@ def run(df: DataFrame, timeout_s: float = TIMEOUT_S) -> list[dict]:
         raise
     finally:
         timer.cancel()
-        spark.removeTag(tag)
+        context.removeJobTag(tag)
 
 
 def ask(spark: SparkSession, question: str, write_sql: Callable[[str, str | None], str], views: dict) -> dict:
