@@ -17,7 +17,7 @@ from claimloom.llm.runtime import cut, join_by_key
 #: At a Jaccard similarity of 0.8, a pair shares one of 12 bands of 4 with probability 1 - (1 - 0.8 ** 4) ** 12 = 0.998.
 BANDS, ROWS = 12, 4
 #: Words of a shingle, least words of a paragraph, least similarity.
-SHINGLE, MIN_WORDS, SIMILARITY = 5, 50, 0.8
+SHINGLE, MIN_WORDS, SIMILARITY = 5, 40, 0.8
 #: Shingles that are hashed against all permutations at a time; bounds the memory of one very long paragraph.
 BLOCK = 1 << 14
 
@@ -85,12 +85,12 @@ def paragraph_table(docs: DataFrame, id_col: str, text_col: str, min_words: int)
     return known.mapInArrow(split, "doc_id long, position int, words int, h1 long, h2 long, bands array<long>")
 
 
-def jaccard(a: Column, b: Column) -> Column:
-    """The exact Jaccard similarity of two paragraphs' sets of word shingles."""
+def jaccard(a: Column, b: Column, n: int = SHINGLE) -> Column:
+    """The exact Jaccard similarity of two texts' sets of n-word shingles, A-Z lower-cased."""
 
     def shingles(text: str) -> set:
         w = words_of(text)
-        return {tuple(w[k : k + SHINGLE]) for k in range(max(1, len(w) - SHINGLE + 1))}
+        return {tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))}
 
     @F.pandas_udf("double")
     def udf(left: pd.Series, right: pd.Series) -> pd.Series:

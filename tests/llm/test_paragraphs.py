@@ -9,7 +9,7 @@ import pytest
 from claimloom.llm import paragraphs
 
 
-def slow(rows, min_words=50, similarity=0.8):
+def slow(rows, min_words=paragraphs.MIN_WORDS, similarity=0.8):
     items = sorted({(i, k, tuple(w.lower() for w in line.split())) for i, t in rows if t is not None and i is not None for k, line in enumerate(t.split("\n")) if len(line.split()) >= min_words})
     sets = [{w[k : k + 5] for k in range(max(1, len(w) - 4))} for _, _, w in items]
     parent = list(range(len(items)))

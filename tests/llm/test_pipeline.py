@@ -1,12 +1,12 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from claimloom.llm import decontamination, language_id, mixing, simhash
+from claimloom.llm import decontamination, language_id, mixing
 from claimloom.llm.runtime import fold_bucket
 from pyspark.sql import functions as F
 
 from tests.llm.test_lines import slow as slow_lines
-from tests.llm.test_simhash import slow_components
+from tests.llm.test_simhash import slow_similar
 
 
 def test_against_brute_force(spark, sf):
@@ -17,7 +17,7 @@ def test_against_brute_force(spark, sf):
     labels = language_id.label_texts([r["text"] for r in rows.values()], model)
     kept = {i: rows[i]["text"] for i, (lang, score, _) in zip(rows, labels, strict=True) if lang != "und" and score >= corpus_pipeline.MIN_LANGUAGE_SCORE}
     kept = {i: t for i, t, _, _ in slow_lines(list(kept.items()))}
-    groups = slow_groups(kept)
+    groups = slow_similar(list(kept.items()))
     kept = {i: t for i, t in kept.items() if groups[i] == i}
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     matcher = decontamination.Matcher(items)
@@ -41,17 +41,6 @@ def test_against_brute_force(spark, sf):
     assert all(r["taken"] == r["copies"] * r["size"] and 1 <= r["copies"] <= 3 for r in mixed.values())
 
 
-def slow_groups(texts):
-    original = simhash.text_fingerprint
-    from tests.llm import test_simhash
-
-    real, test_simhash.simhash.text_fingerprint = original, lambda t, n: original(t, 5)
-    try:
-        return slow_components(list(texts.items()))
-    finally:
-        test_simhash.simhash.text_fingerprint = real
-
-
 def test_edges(spark, sf):
     docs = spark.createDataFrame(
         [(1, None, "en", "a", 0), (2, "", "en", "a", 0), (3, "12345", None, None, 5), (4, "the and of with", "en", None, 15), (4, "the and of with", "en", None, 15)],
