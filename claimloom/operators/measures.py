@@ -178,3 +178,17 @@ def metric_status(value: Column, target: Column, direction: Column) -> Column:
 def noise_floor(total: Column, points: int = 4) -> Column:
     """The share that repeated runs differ by."""
     return ratio(F.lit(points), total)
+
+
+def sanity_measure(df: DataFrame, leaking: Column, flagged: Column, expected_kind: Column, kinds: Column) -> DataFrame:
+    """Detection, false alarms and hits of the kind over labelled records: leaks, detected, clean, false_alarms,
+    right_kind."""
+    return df.agg(
+        F.count_if(leaking).alias("leaks"), F.count_if(leaking & flagged).alias("detected"), F.count_if(~leaking).alias("clean"),
+        F.count_if(~leaking & flagged).alias("false_alarms"), F.count_if(leaking & F.array_contains(kinds, expected_kind)).alias("right_kind"),
+    )
+
+
+def kind_counts(df: DataFrame, kinds: Column) -> DataFrame:
+    """Records of each kind that was flagged, once a record."""
+    return df.select(F.explode(F.array_distinct(kinds)).alias("kind")).groupBy("kind").agg(F.count("*").alias("records"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from claimloom.functions import masking, text
 from claimloom.functions.signals import SignalRules, signals
+from claimloom.operators import retrieval
 from claimloom.operators.measures import masking_recall
 from claimloom.plans.registry import query, table
 from claimloom.sources.generator import ground_truth, render_texts
@@ -108,3 +109,13 @@ def generated_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = render_texts(truth).join(truth, "gt_id").select("gt_id", "text", "personal.*", F.col("expected.plate").alias("plate"))
     masked = masking.with_pattern_masks(texts)
     return masking_recall(masked, "text", "masked_text", {"TC": "tc", "PHONE": "phone", "PLATE": "plate", "NAME": "name"})
+
+
+@query()
+def answered_by_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items nearest to a question and their best sentences, with the stand-in encoder."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("claim_id"), "text")
+    vectors = retrieval.backfill(items, items.where("false"), retrieval.hashing_encoder)
+    question = "the and of with from this"
+    hits = retrieval.search(vectors.join(items, "claim_id"), question, retrieval.hashing_encoder)
+    return retrieval.snippets(hits, question, retrieval.hashing_encoder, "claim_id", "text").select("claim_id", "score", "snippet")
