@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,7 +66,8 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rows, sources, _ = mixing.mix(docs, "doc_id", mixing.word_count(F.col("text")), F.array("source"), SOURCE_WEIGHTS, MIX_EPOCHS)
-    known = spark.createDataFrame([(s, *x) for s, x in sources.items()], "name string, source_size long, target double")
+    sizes, targets = [x[0] for x in sources.values()], [x[1] for x in sources.values()]
+    known = spark.createDataFrame(pa.table({"name": pa.array(sources, pa.string()), "source_size": pa.array(sizes, pa.int64()), "target": pa.array(targets, pa.float64())}))
     joined = rows.join(known, F.col("sources")[0].eqNullSafe(F.col("name")), "left")
     return joined.select("doc_id", "size", "source_size", "target", "taken")
 
