@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORDS = re.compile(r"[^\W_]+")
-#: Share of an item's words that may differ; shorter items than MIN_WORDS only match a text that they are all of.
-ERRORS, MIN_WORDS = 0.2, 5
+#: Share of an item's words that may differ, from FUZZY_WORDS on; shorter items must stand in the text word for word,
+#: and those of under MIN_WORDS must be all of it.
+ERRORS, FUZZY_WORDS, MIN_WORDS = 0.2, 10, 5
 #: Characters of items whose pieces are broadcast at a time; more items go in further passes over the documents.
 BLOCK_CHARS = 8_000_000
 
@@ -25,6 +26,11 @@ def normal_words(text: str | None) -> list[str]:
     return WORDS.findall((text or "").lower())
 
 
+def error_budget(n: int) -> int:
+    """Edits that an item of n words may have."""
+    return int(ERRORS * n) if n >= FUZZY_WORDS else 0
+
+
 def pieces(words: list[str], errors: int) -> list[tuple[int, list[str]]]:
     """errors + 1 pieces of even length with their offsets: one of them stays whole under that many edits."""
     cuts = [k * len(words) // (errors + 1) for k in range(errors + 2)]
@@ -64,7 +70,7 @@ class Matcher:
                 if words:
                     self.whole.setdefault(" ".join(words), []).append(item)
                 continue
-            errors = int(ERRORS * len(words))
+            errors = error_budget(len(words))
             self.items[item] = (words, errors)
             for offset, piece in pieces(words, errors):
                 found.setdefault(f" {' '.join(piece)} ", []).append((item, offset, len(piece)))
@@ -115,8 +121,8 @@ def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "
 def matches(text: Column, blocks: list[list[tuple[int, str]]]) -> Column:
     """The benchmark items that a text holds, as an array of struct(item_id, distance, begin_word, end_word).
 
-    An item counts as held if a stretch of the text's words is within ERRORS of the item's words by edit distance;
-    words are runs of letters and digits, lower-cased. Items of under MIN_WORDS words must be the whole text. Null
+    An item counts as held if a stretch of the text's words is within its error budget by edit distance; words are
+    runs of letters and digits, lower-cased. Items of under MIN_WORDS words must be the whole text. Null
     and blank texts hold nothing. Each item comes once a text with its least distance found.
     """
 

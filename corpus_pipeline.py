@@ -12,7 +12,7 @@ from claimloom.llm.queries import MIX_EPOCHS, SOURCE_WEIGHTS
 from claimloom.llm.runtime import checkpoint_dir, fold_bucket, table
 
 #: A document goes if the language that most of its letters have is less probable than this.
-MIN_LANGUAGE_SCORE = 0.4
+MIN_LANGUAGE_SCORE = 0.3
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

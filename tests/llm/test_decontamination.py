@@ -33,7 +33,7 @@ def slow_hits(items, text):
             continue
         if len(p) < d.MIN_WORDS:
             out += [item] * (p == words)
-        elif words and slow_distance(p, words)[0] <= int(d.ERRORS * len(p)):
+        elif words and slow_distance(p, words)[0] <= d.error_budget(len(p)):
             out.append(item)
     return sorted(out)
 
