@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.runtime import cut
+from claimloom.llm.runtime import cut_slim
 
 
 #: Edges below which hubs are joined like any other node.
@@ -49,10 +49,10 @@ def connected_components(edges: DataFrame, src: str, dst: str) -> DataFrame:
     joined by a broadcast of the few hubs. Every round writes a checkpoint.
     """
     pairs = edges.where(F.col(src) != F.col(dst))
-    now = cut(pairs.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).distinct())
+    now = cut_slim(pairs.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).distinct())
     state = _state(now)
     while state[0]:
-        following = cut(_small_star(_large_star(now, state[0]), state[0]).distinct())
+        following = cut_slim(_small_star(_large_star(now, state[0]), state[0]).distinct())
         after = _state(following)
         now, state, before = following, after, state
         if after == before:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.runtime import cut
+from claimloom.llm.runtime import cut_slim
 
 TOKENS = re.compile(
     r"<!--(?s:.*?)(?:-->|\Z)"
@@ -218,7 +218,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     votes = pages.select(host_of(F.col(url_col)).alias("__host"), F.explode(page_votes(F.col(html_col))).alias("__vote"))
     sums = votes.groupBy("__host", F.col("__vote.path").alias("__path")).agg(F.sum("__vote.share").alias("__votes"))
     first = F.min(F.struct((-F.round("__votes", 6)).alias("rank"), F.col("__path")))
-    winners = cut(sums.groupBy("__host").agg(first.alias("__first")).select("__host", F.col("__first.__path").alias("__path")))
+    winners = cut_slim(sums.groupBy("__host").agg(first.alias("__first")).select("__host", F.col("__first.__path").alias("__path")))
     if winners.count() <= broadcast_hosts:
         winners = F.broadcast(winners)
     joined = pages.withColumn("__host", host_of(F.col(url_col))).join(winners, "__host", "left")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.llm.components import connected_components
-from claimloom.llm.runtime import cut, join_by_key
+from claimloom.llm.runtime import cut, cut_slim, join_by_key
 
 #: At a Jaccard similarity of 0.8, a pair shares one of 12 bands of 4 with probability 1 - (1 - 0.8 ** 4) ** 12 = 0.998.
 BANDS, ROWS = 12, 4
@@ -173,10 +173,10 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     found = cut(paragraph_table(docs, id_col, text_col, min_words))
     distinct = found.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "position", "bands")).alias("x"), F.count("*").alias("n"))
-    distinct = cut(distinct.select("h1", "h2", F.monotonically_increasing_id().alias("pid"), "n", "x.doc_id", "x.position", "x.bands"))
+    distinct = cut_slim(distinct.select("h1", "h2", F.monotonically_increasing_id().alias("pid"), "n", "x.doc_id", "x.position", "x.bands"))
     bands = distinct.select("pid", F.explode("bands").alias("band"))
     shared = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    members = cut(join_by_key(bands, shared, ["band"], "n"))
+    members = cut_slim(join_by_key(bands, shared, ["band"], "n"))
 
     needed = members.select("pid").distinct().join(distinct.select("pid", "doc_id", "position"), "pid").withColumnRenamed("doc_id", "of")
     lines = docs.select(F.col(id_col).cast("long").alias("of"), F.col(text_col).alias("whole"))
@@ -185,10 +185,6 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     texts = texts.select("parts", F.explode("wanted").alias("w")).select("w.pid", F.get("parts", F.col("w.position")).alias("text"))
     texts = cut(texts.where("text is not null").dropDuplicates(["pid"]))
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        sides = pairs.join(texts.toDF("a", "a_text"), "a").join(texts.toDF("b", "b_text"), "b")
-        return cut(sides.where(jaccard(F.col("a_text"), F.col("b_text")) >= similarity).select("a", "b"))
-
     few = members.where(F.col("n") <= PAIRED).select("band", "pid")
     pairs = few.withColumnRenamed("pid", "a").join(few.withColumnRenamed("pid", "b"), "band").where("a < b").select("a", "b").distinct()
     sides = pairs.join(texts.toDF("a", "a_text"), "a").join(texts.toDF("b", "b_text"), "b")

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimloom.llm.runtime import cut
+from claimloom.llm.runtime import cut, cut_slim
 
 #: Trees, symbols of a hash string, first symbols that a query tries in each tree, and vectors of a block.
 TREES, SYMBOLS, PROBES, BLOCK = 16, 6, 4, 8192
@@ -88,8 +88,8 @@ def nearest(
     lengths = rows.where("size(v) > 0").groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     dim = lengths["n"] if lengths else 1
     rows = rows.where(usable(F.col("v"), dim)).withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64(F.lit("vector"), F.col("v"))})
-    distinct = cut(rows.groupBy("h1", "h2").agg(F.min("id").alias("vid"), F.first("v").alias("v"), F.max("asks").alias("asks")))
-    members = cut(rows.select("id", "asks", "h1", "h2").distinct().join(distinct.select("h1", "h2", "vid"), ["h1", "h2"]).select("id", "asks", "vid"))
+    distinct = cut_slim(rows.groupBy("h1", "h2").agg(F.min("id").alias("vid"), F.first("v").alias("v"), F.max("asks").alias("asks")))
+    members = cut_slim(rows.select("id", "asks", "h1", "h2").distinct().join(distinct.select("h1", "h2", "vid"), ["h1", "h2"]).select("id", "asks", "vid"))
     total = distinct.count()
     codes = Codes(dim, trees, SYMBOLS, seed)
     wanted = max(least, int(share * total))

@@ -34,6 +34,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_slim(df: DataFrame) -> DataFrame:
+    """cut() for rows of a few numbers that a shuffle has made: in at most two files a core, not one a partition."""
+    return cut(df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -62,7 +67,7 @@ def join_by_key(rows: DataFrame, keyed: DataFrame, keys: list[str], count: str,
     A key with over a thousandth of all counted rows would make one task long. There are at most hot_keys such keys,
     and only those are broadcast; the others meet by a shuffle.
     """
-    keyed = cut(keyed)
+    keyed = cut_slim(keyed)
     total = keyed.agg(F.sum(count)).first()[0] or 0
     hot = F.col(count) > total // hot_keys
     few = F.broadcast(keyed.where(hot))
