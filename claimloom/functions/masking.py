@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.functions.text import fold_ascii, words
@@ -96,36 +96,40 @@ def mask_names(df: DataFrame, id_col: str, text_col: str, names: DataFrame, star
     Words are compared without edge punctuation, folded to ASCII. A name that is a common word counts only beside a
     surname or within LOOKBACK words after a marker. Each occurrence gets a number of its own, after `start`;
     white space collapses to single blanks. Ids must be distinct. Words are exploded and met with the dictionary by
-    a join, so that neither has to fit anywhere.
+    a join, so that neither has to fit anywhere; only the names found are gathered by text.
     """
     first = F.lit(0) if start is None else start
-    listed = names.select(fold_ascii(F.col(names.columns[0])).alias("folded")).where("folded != ''").distinct().withColumn("known", F.lit(True))
-    tokens = df.select(F.col(id_col).alias("id"), first.alias("start"), F.posexplode(words(F.col(text_col))).alias("pos", "word"))
-    tokens = tokens.withColumn("bare", F.btrim("word", F.lit(EDGES))).withColumn("folded", fold_ascii(F.col("bare")))
-    tokens = tokens.join(listed, "folded", "left")
-    order = Window.partitionBy("id").orderBy("pos")
-    surname = F.col("folded").isin(SURNAMES)
-    near = F.coalesce(F.lag(surname, 1).over(order), F.lit(False)) | F.coalesce(F.lead(surname, 1).over(order), F.lit(False))
-    before = fold_ascii(F.array_join(F.collect_list("word").over(order.rowsBetween(-LOOKBACK, -1)), " "))
-    marked = F.lit(False)
-    for marker in NAME_MARKERS:
-        marked = marked | F.contains(before, F.lit(marker))
-    is_name = F.coalesce(F.col("known"), F.lit(False)) & (~F.col("folded").isin(AMBIGUOUS_NAMES) | near | marked)
-    tokens = tokens.withColumn("is_name", is_name)
-    number = F.col("start") + F.sum(F.col("is_name").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    placeholder = F.concat(F.lit("[NAME_"), number.cast("string"), F.lit("]"))
-    tokens = tokens.withColumn("placeholder", F.when(F.col("is_name"), placeholder))
-    shown = F.when(F.col("is_name"), F.replace("word", F.col("bare"), F.col("placeholder"))).otherwise(F.col("word"))
-    mapping = F.when(F.col("is_name"), F.struct("placeholder", F.col("bare").alias("real_value"), F.lit("NAME").alias("pii_type")))
-    rows = tokens.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", shown.alias("shown"), mapping.alias("mapping")))).alias("parts"))
-    parts = F.col("parts")
-    done = rows.select(
+    listed = names.select(fold_ascii(F.col(names.columns[0])).alias("folded")).where("folded != ''").distinct()
+    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), first.alias("start"), words(F.col(text_col)).alias("words"))
+    bare = F.btrim("word", F.lit(EDGES))
+    tokens = texts.select("id", F.posexplode("words").alias("pos", "word")).select("id", "pos", "word", bare.alias("bare"), fold_ascii(bare).alias("folded"))
+    found = tokens.join(listed, "folded").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "word", "bare", "folded"))).alias("found"))
+    joined = texts.join(found, "id", "left")
+
+    def surname(pos: Column) -> Column:
+        near = lambda k: fold_ascii(F.btrim(F.get("words", k), F.lit(EDGES))).isin(SURNAMES)
+        return F.coalesce(near(pos + 1), F.lit(False)) | ((pos > 0) & F.coalesce(near(F.greatest(pos - 1, F.lit(0))), F.lit(False)))
+
+    def marked(pos: Column) -> Column:
+        begin = F.greatest(pos - LOOKBACK, F.lit(0))
+        before = fold_ascii(F.array_join(F.slice("words", begin + 1, pos - begin), " "))
+        return before.rlike("|".join(NAME_MARKERS))
+
+    ambiguous = lambda x: x["folded"].isin(AMBIGUOUS_NAMES)
+    joined = joined.withColumn("found", F.filter("found", lambda x: ~ambiguous(x) | surname(x["pos"]) | marked(x["pos"])))
+    placeholder = lambda k: F.concat(F.lit("[NAME_"), (F.col("start") + k + 1).cast("string"), F.lit("]"))
+    begins = lambda k: F.when(k > 0, F.get("found", F.greatest(k - 1, F.lit(0)))["pos"] + 1).otherwise(0)
+    until = lambda x, k: F.slice("words", begins(k) + 1, x["pos"] - begins(k))
+    pieces = F.flatten(F.transform("found", lambda x, k: F.concat(until(x, k), F.array(F.replace(x["word"], x["bare"], placeholder(k))))))
+    rest = F.element_at("found", -1)["pos"] + 1
+    masked = F.array_join(F.concat(pieces, F.slice("words", rest + 1, F.size("words") - rest)), " ")
+    mappings = F.transform("found", lambda x, k: F.struct(placeholder(k).alias("placeholder"), x["bare"].alias("real_value"), F.lit("NAME").alias("pii_type")))
+    some = F.coalesce(F.size("found"), F.lit(0)) > 0
+    return joined.select(
         F.col("id").alias(id_col),
-        F.array_join(F.transform(parts, lambda p: p["shown"]), " ").alias("masked_text"),
-        F.filter(F.transform(parts, lambda p: p["mapping"]), lambda m: m.isNotNull()).alias("mappings"),
+        F.when(some, masked).otherwise(F.array_join("words", " ")).alias("masked_text"),
+        F.when(some, mappings).otherwise(F.array().cast(MAPPINGS)).alias("mappings"),
     )
-    blank = df.where(F.size(words(F.coalesce(F.col(text_col), F.lit("")))) == 0)
-    return done.unionByName(blank.select(id_col, F.when(F.col(text_col).isNotNull(), "").alias("masked_text"), F.array().cast(MAPPINGS).alias("mappings")))
 
 
 def mask_all(df: DataFrame, id_col: str, text_col: str, names: DataFrame) -> DataFrame:
