@@ -10,6 +10,7 @@ from claimloom.functions.signals import SignalRules, signals
 from claimloom.operators import retrieval
 from claimloom.operators.measures import masking_recall
 from claimloom.plans.registry import query, table
+from claimloom.sources.files import spread
 from claimloom.sources.generator import ground_truth, render_texts
 
 
@@ -20,7 +21,7 @@ from claimloom.sources.generator import ground_truth, render_texts
 def masked_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many different values of each kind a document gets placeholders for."""
     patterns = {k: masking.GENERAL_PATTERNS[k] for k in ("EMAIL", "IP")}
-    rows = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", masking.pattern_mappings(F.col("text"), patterns).alias("m"))
+    rows = spread(table(spark, sf_dir, "documents").select("doc_id", "text").where("text is not null")).select("doc_id", masking.pattern_mappings(F.col("text"), patterns).alias("m"))
     of = lambda kind: F.size(F.filter("m", lambda x: x["pii_type"] == kind)).cast("long")
     return rows.select("doc_id", of("EMAIL").alias("emails"), of("IP").alias("ips"))
 
@@ -28,7 +29,7 @@ def masked_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def masked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents masked by patterns, and whether unmasking gives the text back."""
-    rows = masking.with_pattern_masks(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", masking.GENERAL_PATTERNS)
+    rows = masking.with_pattern_masks(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "text", masking.GENERAL_PATTERNS)
     back = masking.unmask(F.col("masked_text"), F.col("mappings"))
     return rows.select("doc_id", F.sha2(F.col("masked_text").cast("binary"), 256).alias("sha256"), F.size("mappings").alias("values"), back.eqNullSafe(F.col("text")).alias("restored"))
 
@@ -43,7 +44,7 @@ def masked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def masked_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dictionary words masked with running numbers; the dictionary is a table."""
     names = spark.createDataFrame([("the",), ("Und",), ("les",), ("que",)], "name string")
-    done = masking.mask_names(table(spark, sf_dir, "documents").where("text != ''"), "doc_id", "text", names)
+    done = masking.mask_names(spread(table(spark, sf_dir, "documents").select("doc_id", "text").where("text != ''")), "doc_id", "text", names)
     return done.select("doc_id", F.size("mappings").cast("long").alias("names"), F.sha2(F.col("masked_text").cast("binary"), 256).alias("sha256"))
 
 
@@ -66,7 +67,7 @@ def split_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 def asserted_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that assert one of a few terms, without a negation near them."""
     rules = SignalRules(terms=("pathetic", "worthless", "idiot"), context_terms=frozenset(), never_folded=frozenset(), negation="not|never", negating_suffix=r"\bnever", inflection="", care_action="")
-    found = table(spark, sf_dir, "documents").select("doc_id", signals(F.col("text"), rules).alias("terms"))
+    found = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", signals(F.col("text"), rules).alias("terms"))
     return found.where(F.size("terms") > 0)
 
 

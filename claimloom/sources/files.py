@@ -29,6 +29,12 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType | str, strict:
     return rows.select("r.*").drop("_corrupt")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores if it has fewer partitions than those: for long work on each row of a small file."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def line_number(spark: SparkSession, path: str, line: str) -> int | None:
     """The number, from 1, of the first line with that text in a small file."""
     for name, content in spark.sparkContext.wholeTextFiles(path).collect():

@@ -126,3 +126,10 @@ def test_vectors(spark):
     rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [-1.0, 0.0]), (4, [0.0, 0.0])], "id int, v array<double>")
     asked = F.array(F.lit(1.0), F.lit(0.0))
     assert [r[0] for r in rows.orderBy("id").select(vectors.cosine_distance(F.col("v"), asked)).collect()] == [0.0, 1.0, 2.0, None]
+
+
+def test_signals_are_never_filtered_out(spark):
+    texts = ["KAZADA YARALANDI", "kazada yaralandi", "Kazada YARALANDİ", "ÖLÜ var", "KIRIK kol", "Röntgenim çekildi", "RONTGENE girdi", "acil  servise", "ACİL SERVİSE kaldırıldı", "iyi"]
+    found = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1).select(signals(F.col("t"))).collect()]
+    assert found == [SignalRules().find(t) for t in texts]
+    assert sum(map(bool, found)) >= 6
