@@ -1,0 +1,172 @@
+"""Verbatim passages: every run of RUN equal words that two documents share, wherever it lies in their lines."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from claimloom.llm.paragraphs import words_of
+from claimloom.llm.runtime import cut, cut_slim, join_by_key
+
+#: Words of the shortest passage, and of the shingle whose least hash names a window of so many words.
+RUN, SEED = 50, 16
+
+_BASE = 0x9E3779B97F4A7C15 & ~7 | 5
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+class Sums:
+    """Hashes of any runs of a text's words, from sums of the words' hashes times powers of an odd number."""
+
+    _up = _down = np.zeros(0, np.uint64)
+
+    def __init__(self, words: list[bytes]) -> None:
+        digest, n = xxhash.xxh64_intdigest, len(words)
+        if n >= len(Sums._up):
+            Sums._up, Sums._down = _powers(_BASE, 2 * n + 1), _powers(_INVERSE, 2 * n + 1)
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(np.array([digest(w, 3) for w in words], np.uint64) * Sums._up[:n], out=self.sums[1:])
+
+    def hashes(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        x = (self.sums[end] - self.sums[begin]) * Sums._down[begin]
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ x >> np.uint64(shift)) * np.uint64(factor)
+        return x ^ x >> np.uint64(31)
+
+
+def marked(whole: np.ndarray, place: np.ndarray, windows: np.ndarray | int) -> np.ndarray:
+    return whole ^ (place * 2 * RUN + windows).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+
+
+def wholes(sums: Sums, first: int, windows: int, seed: int) -> list[int]:
+    """What `whole` a segment there can have, by the places of its seed."""
+    place = np.arange(windows + RUN - SEED)
+    place = place[sums.hashes(first + place, first + place + SEED).view(np.int64) == seed]
+    return marked(sums.hashes(np.array([first]), np.array([first + windows + RUN - 1])), place, windows).view(np.int64).tolist()
+
+
+def segments(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+    """first, windows, seed, whole: the text's windows of RUN words, joined while their least shingle is the same one.
+
+    The seed is that shingle's hash; `whole` stands for all words of the joined windows and the shingle's place there.
+    A window's seed hangs on the window's words alone, so equal windows have equal seeds.
+    """
+    words = words_of(text)
+    if len(words) < RUN:
+        return None
+    sums, at = Sums(words), np.arange(len(words) - SEED + 1)
+    shingles = sums.hashes(at, at + SEED)
+    held = np.lib.stride_tricks.sliding_window_view(shingles, RUN - SEED + 1)
+    place = held.argmin(1) + np.arange(len(held))
+    first = np.flatnonzero(np.diff(place, prepend=-1))
+    windows = np.diff(first, append=len(place))
+    whole = sums.hashes(first, first + windows + RUN - 1)
+    return first, windows, shingles[place[first]], marked(whole, place[first] - first, windows)
+
+
+def _batches(rows: Iterator[list[np.ndarray]], schema: pa.Schema, least: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    held, n = [], 0
+
+    def joined() -> pa.RecordBatch:
+        columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c).cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    for row in rows:
+        held.append(row)
+        n += len(row[0])
+        if n >= least:
+            yield joined()
+            held, n = [], 0
+    if held:
+        yield joined()
+
+
+def segment_table(docs: DataFrame) -> DataFrame:
+    """doc_id, first, windows, seed, whole of every document's segments; docs has doc_id and text."""
+    schema = pa.schema([("doc_id", pa.int64()), ("first", pa.int32()), ("windows", pa.int32()), ("seed", pa.int64()), ("whole", pa.int64())])
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts = (x for b in batches for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        found = ((doc, segments(text)) for doc, text in texts)
+        return _batches(([np.full(len(s[0]), doc), *s] for doc, s in found if s), schema)
+
+    return docs.mapInArrow(split, "doc_id long, first int, windows int, seed long, whole long")
+
+
+def window_table(wanted: DataFrame) -> DataFrame:
+    """pid, step, hash of each window of RUN words in the segments `wanted` (text, segments: pid, first, windows, seed,
+    whole). A text that does not hold a segment there, another one with the same id, gives no rows for it."""
+    schema = pa.schema([("pid", pa.int64()), ("step", pa.int32()), ("hash", pa.int64())])
+
+    def hashed(text: str, held: list[dict]) -> Iterator[list[np.ndarray]]:
+        words = words_of(text)
+        sums = Sums(words)
+        for s in held:
+            step = np.arange(s["windows"])
+            begin = step + s["first"]
+            if begin[-1] + RUN > len(words) or s["whole"] not in wholes(sums, s["first"], s["windows"], s["seed"]):
+                continue
+            yield [np.full(len(step), s["pid"]), step, sums.hashes(begin, begin + RUN)]
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts = (x for b in batches for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        return _batches((row for text, held in texts for row in hashed(text, held)), schema)
+
+    return wanted.select("text", "segments").mapInArrow(split, "pid long, step int, hash long")
+
+
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each passage that another document holds word for word: doc_id, position, words, component,
+    component_position, copies, removed.
+
+    A passage is made of runs of RUN words (split at white space, A-Z lower-cased, over line ends) that stand in at
+    least two documents; each such run is in a row. position is the number of its first word. component is the
+    least document with the passage's runs, component_position where the first of them stands there, copies how often
+    the most frequent stands anywhere, and removed is whether component is another document. Runs are compared by
+    64-bit hashes. A segment that all holders of its seed have whole counts as one; only where holders differ, windows
+    are compared singly, one segment of each kind. Nothing is paired. Of rows that repeat an id with different texts,
+    each is split. Null texts and ids have no passages, an empty table gives no rows.
+    """
+    known = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    found = cut(segment_table(known))
+    keys = ["seed", "whole"]
+    kinds = found.groupBy(*keys).agg(F.min(F.struct("doc_id", "first")).alias("least"), F.max("doc_id").alias("last"), F.first("windows").alias("windows"), F.count("*").alias("n"))
+    kinds = cut_slim(kinds.withColumn("pid", F.monotonically_increasing_id()))
+    seeds = kinds.groupBy("seed").agg(F.count("*").alias("kinds"), F.min("least.doc_id").alias("low"), F.max("last").alias("high"))
+    shared = cut_slim(join_by_key(kinds, seeds.where("low < high").select("seed", "kinds"), ["seed"], "kinds"))
+
+    alone = shared.where("kinds = 1").select(*keys, "n", F.array(F.struct(F.lit(0).alias("step"), (F.col("windows") - 1).alias("end"), F.col("least.doc_id").alias("component"), F.col("least.first").alias("at"), F.col("n").alias("copies"))).alias("spans"))
+    several = shared.where("kinds > 1")
+    wanted = several.groupBy(F.col("least.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("pid", F.col("least.first").alias("first"), "windows", *keys)).alias("segments"))
+    steps = window_table(wanted.join(known, "doc_id"))
+    steps = cut(steps.join(several.select("pid", *keys, "n", "least", "last"), "pid").dropDuplicates(["pid", "step"]))
+    place = F.struct(F.col("least.doc_id").alias("doc_id"), (F.col("least.first") + F.col("step")).alias("first"))
+    runs = steps.groupBy("hash").agg(F.min(place).alias("holder"), F.max("last").alias("last"), F.sum("n").alias("copies"), F.count("*").alias("rows"))
+    held = join_by_key(steps.select("hash", "step", *keys, "n"), runs.where("holder.doc_id < last").select("hash", "holder", "copies", "rows"), ["hash"], "rows")
+    aligned = [*keys, "component", "from"]
+    held = held.withColumns({"component": F.col("holder.doc_id"), "from": F.col("holder.first") - F.col("step")})
+    held = held.withColumn("rank", F.col("step") - F.row_number().over(Window.partitionBy(*aligned).orderBy("step")))
+    spans = held.groupBy(*aligned, "rank")
+    spans = spans.agg(F.min("step").alias("step"), F.max("step").alias("end"), F.max("copies").alias("copies"), F.first("n").alias("n"))
+    spans = spans.groupBy(*keys).agg(F.first("n").alias("n"), F.collect_list(F.struct("step", "end", "component", (F.col("from") + F.col("step")).alias("at"), "copies")).alias("spans"))
+
+    rows = join_by_key(found, alone.unionByName(spans), keys, "n").select("doc_id", "first", F.explode("spans").alias("s"))
+    rows = rows.select("doc_id", (F.col("first") + F.col("s.step")).alias("begin"), (F.col("first") + F.col("s.end")).alias("end"), "s.component", "s.at", "s.copies")
+    ordered = Window.partitionBy("doc_id", "component").orderBy("begin", "end", "at")
+    before = F.max("end").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.when(F.col("begin") <= before + 1, 0).otherwise(1)
+    rows = rows.withColumn("opens", opens).withColumn("island", F.sum("opens").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
+    out = rows.groupBy("doc_id", "component", "island").agg(F.min(F.struct("begin", "at")).alias("x"), F.max("end").alias("end"), F.max("copies").alias("copies"))
+    position = F.col("x.begin").alias("position")
+    return out.select("doc_id", position, (F.col("end") + RUN - F.col("x.begin")).alias("words"), "component", F.col("x.at").alias("component_position"), "copies", (F.col("component") < F.col("doc_id")).alias("removed"))

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import decontamination, html_text, language_id, line_dedup, mixing, paragraphs, prefix_forest, quality, simhash, warc
+from claimloom.llm import decontamination, html_text, language_id, line_dedup, mixing, paragraphs, passages, prefix_forest, quality, simhash, warc
 from claimloom.llm.runtime import checkpoint_dir, fold_bucket, table
 
 SOURCE_WEIGHTS, MIX_EPOCHS = (5, 2, 1), 3
@@ -37,7 +37,9 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraphs.repeated_paragraphs(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    lines = paragraphs.repeated_paragraphs(docs).withColumn("kind", F.lit("line"))
+    return lines.unionByName(passages.repeated_passages(docs).withColumn("kind", F.lit("passage")))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,0 +1,58 @@
+from __future__ import annotations
+
+import random
+
+from claimloom.llm import passages, queries
+
+RUN = passages.RUN
+
+
+def shared_runs(rows):
+    """(doc_id, position) of each run of RUN words that another document holds."""
+    holders: dict = {}
+    for i, t in rows:
+        words = (t or "").lower().split()
+        for k in range(len(words) - RUN + 1):
+            holders.setdefault(tuple(words[k : k + RUN]), []).append((i, k))
+    return {x for held in holders.values() if len({i for i, _ in held}) > 1 for x in held}, holders
+
+
+def covered(found):
+    return {(r["doc_id"], k) for r in found for k in range(r["position"], r["position"] + r["words"] - RUN + 1)}
+
+
+def test_passage_on_short_lines(spark, tmp_path):
+    draw = random.Random(3)
+    some = lambda n: [f"w{draw.randrange(9000)}" for _ in range(n)]
+    passage = some(57)
+    lined = "\n".join(" ".join(passage[a:b]) for a, b in ((0, 7), (7, 32), (32, 57)))
+    inside = " ".join(some(200) + passage + some(200))  # a long line of other words
+    short = " ".join(some(30) + passage[:49] + some(30))
+    rows = [(1, "head\n" + lined + "\n" + " ".join(some(9))), (2, " ".join(some(8)) + "\n" + lined.upper()), (3, inside), (4, short)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = queries.op5_substring_dedup(spark, str(tmp_path)).where("kind = 'passage'").collect()
+    assert sorted((r["doc_id"], r["position"], r["words"], r["component"], r["component_position"], r["copies"], r["removed"]) for r in found) == [
+        (1, 1, 57, 1, 1, 3, False),
+        (2, 8, 57, 1, 1, 3, True),
+        (3, 200, 57, 1, 1, 3, True),
+    ]
+
+
+def test_every_shared_run(spark):
+    draw = random.Random(4)
+    stock = [f"w{draw.randrange(4000)}" for _ in range(3000)]
+    rows: list = []
+    for i in range(80):
+        words: list = []
+        for _ in range(draw.randint(1, 6)):
+            a, n = draw.randrange(2900), draw.randint(5, 160)
+            words += stock[a : a + n] + [f"x{draw.randrange(4000)}" for _ in range(draw.randint(0, 30))]
+        rows.append((i, "".join(w + draw.choice(" \n  ") for w in words)))
+    rows += [(100, rows[3][1]), (101, rows[3][1]), (102, "same " * 300), (103, "Same " * 120), (104, None), (105, ""), (None, rows[3][1]), (7, rows[9][1]), (8, rows[8][1])]
+    found = passages.repeated_passages(spark.createDataFrame([(t, i) for i, t in rows], "text string, doc_id long")).collect()
+    want, holders = shared_runs([r for r in rows if r[0] is not None])
+    assert covered(found) == want
+    least = {x: min(held)[0] for held in holders.values() for x in held if x in want}
+    gone = {x for x in covered(r for r in found if r["removed"])}
+    assert gone == {x for x in want if least[x] < x[0]} | {x for x in gone if x[0] == 7}
+    assert passages.repeated_passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
