@@ -169,4 +169,5 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = rows.withColumn("opens", opens).withColumn("island", F.sum("opens").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
     out = rows.groupBy("doc_id", "component", "island").agg(F.min(F.struct("begin", "at")).alias("x"), F.max("end").alias("end"), F.max("copies").alias("copies"))
     position = F.col("x.begin").alias("position")
-    return out.select("doc_id", position, (F.col("end") + RUN - F.col("x.begin")).alias("words"), "component", F.col("x.at").alias("component_position"), "copies", (F.col("component") < F.col("doc_id")).alias("removed"))
+    out = out.select("doc_id", position, (F.col("end") + RUN - F.col("x.begin")).alias("words"), "component", F.col("x.at").alias("component_position"), "copies", (F.col("component") < F.col("doc_id")).alias("removed"))
+    return cut_slim(out)

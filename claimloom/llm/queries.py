@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimloom.llm import decontamination, html_text, language_id, line_dedup, mixing, paragraphs, passages, prefix_forest, quality, simhash, warc
-from claimloom.llm.runtime import checkpoint_dir, fold_bucket, table
+from claimloom.llm.runtime import checkpoint_dir, fold_bucket, release, table
 
 SOURCE_WEIGHTS, MIX_EPOCHS = (5, 2, 1), 3
 
@@ -38,8 +38,9 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    lines = paragraphs.repeated_paragraphs(docs).withColumn("kind", F.lit("line"))
-    return lines.unionByName(passages.repeated_passages(docs).withColumn("kind", F.lit("passage")))
+    verbatim = passages.repeated_passages(docs).withColumn("kind", F.lit("passage"))
+    release(spark)
+    return paragraphs.repeated_paragraphs(docs).withColumn("kind", F.lit("line")).unionByName(verbatim)
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,6 +40,12 @@ def cut_slim(df: DataFrame) -> DataFrame:
     return cut(df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism))
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffles and checkpoints that no living DataFrame needs, before more are written."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
