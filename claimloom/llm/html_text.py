@@ -35,29 +35,70 @@ NOISE = frozenset(
     "masthead menu modal nav navbar navigation newsletter notice notices pagination pager popup promo promoted promotion related reply replies respond share sharing sidebar "
     "social sponsor sponsored subscribe subscription toolbar tooltip widget widgets contentinfo complementary search alertdialog dialog skip gdpr consent".split()
 )
+#: Words after which a noise word in the same name says what a page is about or has not.
+TURNED = frozenset("has no with without category tag".split())
+#: What a container's text counts inside a node that is kept in spite of its name.
+WEAK = 0.25
 
 
 class Node:
-    __slots__ = ("children", "noisy", "parent", "path", "tag")
+    __slots__ = ("children", "named", "noisy", "parent", "path", "tag", "weak")
 
-    def __init__(self, tag: str, parent: Node | None, path: str, noisy: bool) -> None:
-        self.tag, self.parent, self.path, self.noisy, self.children = tag, parent, path, noisy, []
+    def __init__(self, tag: str, parent: Node | None, path: str, noisy: bool, named: bool = False) -> None:
+        self.tag, self.parent, self.path, self.noisy, self.named, self.weak, self.children = tag, parent, path, noisy, named, False, []
 
 
 def attributes(rest: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(rest)}
 
 
-def names(value: str) -> list[str]:
-    return [x for x in re.split(r"[\s_-]+", value.lower()) if x]
+def noise_named(value: str) -> bool:
+    """Whether a part of a name is a noise word that no word before it turns."""
+    for name in value.lower().split():
+        for part in re.split(r"[_-]+", name):
+            if part in TURNED:
+                break
+            if part in NOISE:
+                return True
+    return False
 
 
-def parse(page: str | None) -> Node:
+def settle(root: Node) -> None:
+    """Make named nodes noise, with what is below them, but for those that hold over half of the page's unlinked text
+    while no article or main, nor what stands beside an h1, holds a tenth of it outside named nodes. Those are kept, and
+    weigh less."""
+    order, stack, hidden = [], [(root, False, False)], set()
+    while stack:
+        x, link, named = stack.pop()
+        if x.noisy or x.tag == "head":
+            continue
+        if named or x.named:
+            hidden.add(id(x))
+        order.append((x, link or x.tag == "a"))
+        stack.extend((c, link or x.tag == "a", named or x.named) for c in reversed(x.children) if isinstance(c, Node))
+    length: dict[int, int] = {}
+    free: dict[int, int] = {}
+    for x, link in reversed(order):
+        own = 0 if link else sum(len(c.strip()) for c in x.children if isinstance(c, str))
+        length[id(x)] = own + sum(length.get(id(c), 0) for c in x.children if isinstance(c, Node))
+        free[id(x)] = 0 if id(x) in hidden else own + sum(free.get(id(c), 0) for c in x.children if isinstance(c, Node))
+    total, rest = length[id(root)], free[id(root)]
+    held = (rest - free[id(x)] if x.tag == "h1" else free[id(x)] for x, _ in order if x.tag in ("h1", "article", "main") and free[id(x)])
+    elsewhere = any(10 * n >= total for n in held)
+    for x, _ in order:
+        x.weak = x.parent is not None and x.parent.weak
+        if x.named:
+            x.noisy = elsewhere or 2 * length[id(x)] <= total
+            x.weak = x.weak or not x.noisy
+
+
+def parse(page: str | None, by_name: bool = True) -> Node:
     """The page's tree. Scripts and comments are left out, a new paragraph closes an open one, ends without a start
-    are ignored, and what a cut page leaves open stays open. Paths generalise numbers and have no element ids."""
+    are ignored, and what a cut page leaves open stays open. Paths generalise numbers and have no element ids. If not
+    by_name, classes, ids and roles make no node noise."""
     root = at = Node("", None, "", False)
     page = page or ""
-    last = 0
+    last, any_named = 0, False
 
     def add(text: str) -> None:
         if text:
@@ -88,15 +129,17 @@ def parse(page: str | None) -> Node:
                     at = node.parent
                 node = node.parent
         found = attributes(m["rest"]) if m["rest"] and not m["rest"].isspace() else {}
-        classes = names(found.get("class", ""))
         noisy = tag in BOILERPLATE or "hidden" in found or "display:none" in found.get("style", "").replace(" ", "")
-        noisy = noisy or tag not in ("html", "body") and not NOISE.isdisjoint([*classes, *names(found.get("id", "")), *names(found.get("role", ""))])
+        named = by_name and tag not in ("html", "body", "article", "main") and any(noise_named(found[k]) for k in ("class", "id", "role") if k in found)
         step = ".".join([tag, *sorted({NUMBERS.sub("#", c) for c in found.get("class", "").lower().split()})])
-        node = Node(tag, at, f"{at.path}>{step}", noisy)
+        node = Node(tag, at, f"{at.path}>{step}", noisy, named)
+        any_named = any_named or named
         at.children.append(node)
         if tag not in VOID and not m["rest"].endswith("/"):
             at = node
     add(page[last:])
+    if any_named:
+        settle(root)
     return root
 
 
@@ -155,7 +198,7 @@ def container_scores(root: Node) -> list[tuple[str, float]]:
                 own, linked = own + n, linked + n * link
             elif x.tag in INLINE and not x.noisy:
                 stack.extend((c, link or x.tag == "a") for c in x.children)
-        gain, up = float(own - 2 * linked), node
+        gain, up = float(own - 2 * linked) * (WEAK if node.weak else 1), node
         while gain > 0.5 and up is not root:
             if up.tag in CONTAINERS:
                 kept[id(up)] = up
@@ -169,8 +212,12 @@ def container_scores(root: Node) -> list[tuple[str, float]]:
 
 
 def extract_text(page: str | None, path: str | None) -> str:
-    """The text of the page's nodes at the path, or of its own best container where the path has no text."""
-    root = parse(page)
+    """The text of the page's nodes at the path, or of its own best container where the path has no text; where nothing
+    at all is left, the same without noise by name."""
+    return text_at(parse(page), path) or text_at(parse(page, by_name=False), path)
+
+
+def text_at(root: Node, path: str | None) -> str:
 
     def at(wanted: str) -> list[str]:
         found, inside = [], set()

@@ -56,3 +56,35 @@ def test_whole_table(spark, sf):
         parts = (" ".join(html.unescape(re.sub(r"<[^>]+>", " " if "<br" in x else "", re.sub(r"<br>", " ", x))).split()) for x in re.split(r"</?(?:p|h1)>", inside))
         assert r["text"] == "\n".join(p for p in parts if p)
         assert r["n_chars"] == len(r["text"])
+
+
+STORY = "<h1>Title</h1><p>" + "some words of the story " * 9 + "</p>"
+TOLD = "Title\n" + ("some words of the story " * 9).strip()
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<body><article class='post category-social'>{STORY}</article><div class='sidebar'>Other</div></body>",
+        f"<body><div class='layout no-sidebar'><div class='x'>{STORY}</div></div></body>",
+        f"<body><div id='search-page'>{STORY}</div><div class='social'>Follow</div></body>",
+        f"<body><div id='search-page'><article>{STORY}</article><div class='comments'>short</div></div></body>",
+        f"<body><div class='logo'><h1>Site</h1></div><main><p>Hi</p><div class='search-results'>{STORY}</div></main></body>",
+        f"<body><main class='has-header comments'>{STORY}</main></body>",
+        f"<body><div class='widget'>{STORY}</div><div class='notice'>{'more than that '}</div></body>",
+    ],
+)
+def test_noise_words_do_not_empty_a_page(page):
+    best = html_text.container_scores(html_text.parse(page))[0][0]
+    assert html_text.extract_text(page, best) == html_text.extract_text(page, None)
+    assert TOLD in html_text.extract_text(page, None) and len(html_text.extract_text(page, None)) < len(TOLD) + 5
+
+
+def test_noise_words_still_drop_what_is_aside():
+    long = "<p>I like it very much indeed</p>" * 40
+    for page in (f"<body><article>{STORY}</article><div id='comments'>{long}</div></body>", f"<body><div>{STORY}</div><div class='no-js comments'>{long}</div></body>"):
+        assert html_text.extract_text(page, None) == TOLD
+
+
+def test_nothing_left():
+    assert html_text.extract_text("<body><div class='notice'>one two</div><div class='social'>three four</div></body>", None) != ""
