@@ -60,11 +60,12 @@ def myers(pattern: list[str], text: list[str]) -> tuple[int, int]:
 
 
 class Matcher:
-    """Finds the items of a block in texts."""
+    """Finds the items of a block in texts. Different texts with one id are told apart by number."""
 
-    def __init__(self, items: list[tuple[int, str]]) -> None:
+    def __init__(self, items: list[tuple[int | None, str]]) -> None:
         self.items, self.whole, found = {}, {}, {}
-        for item, text in items:
+        self.ids = [item for item, _ in items]
+        for item, (_, text) in enumerate(items):
             words = normal_words(text)
             if len(words) < MIN_WORDS:
                 if words:
@@ -87,9 +88,9 @@ class Matcher:
         if not words:
             return []
         joined = f" {' '.join(words)} "
-        out = [(item, 0, 0, len(words)) for item in self.whole.get(joined[1:-1], ())]
+        least = {self.ids[item]: (0, 0, len(words)) for item in self.whole.get(joined[1:-1], ())}
         if not self.any:
-            return out
+            return [(item, *found) for item, found in least.items()]
         begins: list[int] = []
         tried, best = set(), {}
         for end, (length, uses) in self.pieces.iter(joined):
@@ -107,15 +108,19 @@ class Matcher:
                 if distance <= errors and (item not in best or distance < best[item][0]):
                     _, length = myers(pattern[::-1], window[:stop][::-1])
                     best[item] = (distance, a + stop - length, a + stop)
-        return out + [(item, *found) for item, found in best.items()]
+        for item, found in best.items():
+            held = least.get(self.ids[item])
+            least[self.ids[item]] = found if held is None else min(held, found)
+        return [(item, *found) for item, found in least.items()]
 
 
-def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> list[list[tuple[int, str]]]:
-    """The items in blocks of about BLOCK_CHARS characters; null texts and ids are no items."""
-    items = benchmark.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", unnamed: bool = False) -> list[list[tuple[int | None, str]]]:
+    """The items in blocks of about BLOCK_CHARS characters, those of one id in one block; null texts are no items, null
+    ids only if unnamed."""
+    items = benchmark.where((F.col(id_col).isNotNull() | F.lit(unnamed)) & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     chars = items.agg(F.sum(F.char_length("text"))).first()[0] or 0
     n = 1 + chars // BLOCK_CHARS
-    return [[(r["id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k).collect()] for k in range(n)]
+    return [[(r["id"], r["text"]) for r in items.where(F.pmod(F.when(F.col("id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("id")), F.lit(n)) == k).collect()] for k in range(n)]
 
 
 def matches(text: Column, blocks: list[list[tuple[int, str]]]) -> Column:
@@ -149,5 +154,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of docs whose text holds no benchmark item, as they are."""
-    found = docs.withColumn("__hits", matches(F.col(text_col), item_blocks(benchmark)))
+    found = docs.withColumn("__hits", matches(F.col(text_col), item_blocks(benchmark, unnamed=True)))
     return found.where(F.size("__hits") == 0).select(docs.columns)

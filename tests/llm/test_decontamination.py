@@ -83,3 +83,12 @@ def test_edges(spark, monkeypatch):
     assert rows(benchmark.distinct()) == want
     assert rows(benchmark.where("false")) == []
     assert d.contaminated(docs.where("false"), benchmark).count() == 0
+
+
+def test_shared_and_missing_ids(spark):
+    texts = [" ".join(f"{k}q{j}" for j in range(20)) for k in range(4)]
+    benchmark = spark.createDataFrame([(1, texts[0]), (1, texts[1]), (None, texts[2])], "item_id long, text string")
+    docs = spark.createDataFrame([(k, f"before {t} after") for k, t in enumerate(texts)], "doc_id long, text string")
+    found = d.contaminated(docs, benchmark).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["distance"], r["begin_word"], r["end_word"]) for r in found) == [(0, 1, 0, 1, 21), (1, 1, 0, 1, 21)]
+    assert [r["doc_id"] for r in d.decontaminate(docs, benchmark).collect()] == [3]
