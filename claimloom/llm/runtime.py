@@ -60,6 +60,17 @@ def fold_bucket(key: Column, folds: int) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % folds
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before those that are columns of df already, whatever their case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def bounded_share(df: DataFrame, key: str, bound: int, among: DataFrame | None = None) -> DataFrame:
     """Rows of df kept by a hash of key so that about `bound` remain; all rows if there are no more."""
     n = (df if among is None else among).count()
