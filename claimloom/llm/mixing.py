@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import heapq
 from collections import defaultdict
-from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -14,13 +13,9 @@ from claimloom.llm.runtime import WORD, cut, cut_slim
 
 #: Hash buckets of a pattern's documents; only one bucket of each pattern is ever ordered row by row.
 BUCKETS = 4096
-#: Most membership patterns that the driver routes; more are an error, not a cut.
-MAX_PATTERNS = 2_000_000
-#: Patterns up to which what is known of each, a row of a few numbers, is broadcast; beyond, it is joined by key.
-BROADCAST_PATTERNS = 100_000
-#: Documents of a pattern up to which one chosen document may be exchanged at the end, where over a thousandth of its
-#: rest is left: single ones weigh there.
-SWAPPED = 10_000
+#: Most membership patterns that the driver routes, in seconds; more are an error, not a cut. What is known of each, a row
+#: of a few numbers, is broadcast.
+MAX_PATTERNS = 100_000
 #: Times that what is left of a quota is filled with documents that still fit.
 PASSES = 3
 
@@ -53,74 +48,114 @@ def water_fill(sizes: dict, total: int, weights: tuple[float, ...], epochs: int)
 
 
 class Flow:
-    """Min-cost flow by shortest augmenting paths with potentials, on integer capacities."""
+    """Min-cost flow on integer capacities by the primal-dual method: shortest distances once for each cost of a path,
+    and all paths of that cost filled together, level by level."""
 
     def __init__(self) -> None:
-        self.arcs: list[list] = []  # to, capacity left, cost; an arc's reverse has the next odd or even number
-        self.at: dict = defaultdict(list)
+        self.number: dict = {}
+        self.at: list[list[int]] = []
+        self.to: list[int] = []  # an arc's reverse has the next odd or even number
+        self.left: list[int] = []
+        self.cost: list[int] = []
+
+    def node(self, name) -> int:
+        if name not in self.number:
+            self.number[name] = len(self.at)
+            self.at.append([])
+        return self.number[name]
 
     def arc(self, a, b, capacity: int, cost: int) -> int:
+        a, b = self.node(a), self.node(b)
         for x, y, c, w in ((a, b, capacity, cost), (b, a, 0, -cost)):
-            self.at[x].append(len(self.arcs))
-            self.arcs.append([y, c, w])
-        return len(self.arcs) - 2
+            self.at[x].append(len(self.to))
+            self.to.append(y)
+            self.left.append(c)
+            self.cost.append(w)
+        return len(self.to) - 2
+
+    def sent(self, arc: int) -> int:
+        return self.left[arc ^ 1]
 
     def run(self, begin, end) -> None:
-        potential: dict = defaultdict(int)
-        while True:
-            best, via, queue, n = {begin: 0}, {}, [(0, 0, begin)], 0
-            while queue:
-                far, _, x = heapq.heappop(queue)
-                if far > best[x]:
-                    continue
+        begin, end = self.node(begin), self.node(end)
+        potential = [0] * len(self.at)
+        while (far := self._distances(begin, potential)).get(end) is not None:
+            potential = [p + min(far.get(x, far[end]), far[end]) for x, p in enumerate(potential)]
+            while level := self._levels(begin, end, potential):
+                self._fill_paths(begin, end, potential, level)
+
+    def _distances(self, begin: int, potential: list[int]) -> dict[int, int]:
+        done: dict[int, int] = {}
+        queue = [(0, begin)]
+        while queue:
+            far, x = heapq.heappop(queue)
+            if x in done:
+                continue
+            done[x] = far
+            for k in self.at[x]:
+                if self.left[k] and self.to[k] not in done:
+                    heapq.heappush(queue, (far + self.cost[k] + potential[x] - potential[self.to[k]], self.to[k]))
+        return done
+
+    def _free(self, k: int, x: int, potential: list[int]) -> bool:
+        return self.left[k] > 0 and self.cost[k] + potential[x] == potential[self.to[k]]
+
+    def _levels(self, begin: int, end: int, potential: list[int]) -> dict[int, int]:
+        """Steps from begin over arcs of shortest paths; empty if those do not reach the end."""
+        level, now = {begin: 0}, [begin]
+        while now and end not in level:
+            following = []
+            for x in now:
                 for k in self.at[x]:
-                    y, left, cost = self.arcs[k]
-                    to = far + cost + potential[x] - potential[y]
-                    if left > 0 and to < best.get(y, float("inf")):
-                        best[y], via[y], n = to, k, n + 1
-                        heapq.heappush(queue, (to, n, y))
-            if end not in best:
+                    if self.to[k] not in level and self._free(k, x, potential):
+                        level[self.to[k]] = level[x] + 1
+                        following.append(self.to[k])
+            now = following
+        return level if end in level else {}
+
+    def _fill_paths(self, begin: int, end: int, potential: list[int], level: dict[int, int]) -> None:
+        tried = defaultdict(int)
+        path, x = [], begin
+        while True:
+            if x == end:
+                step = min(self.left[k] for k in path)
+                for k in path:
+                    self.left[k] -= step
+                    self.left[k ^ 1] += step
+                full = next(n for n, k in enumerate(path) if not self.left[k])
+                x = self.to[path[full] ^ 1]
+                del path[full:]
+            arcs = self.at[x]
+            while tried[x] < len(arcs):
+                k = arcs[tried[x]]
+                if level.get(self.to[k]) == level[x] + 1 and self._free(k, x, potential):
+                    break
+                tried[x] += 1
+            if tried[x] < len(arcs):
+                path.append(arcs[tried[x]])
+                x = self.to[path[-1]]
+            elif path:
+                x = self.to[path.pop() ^ 1]
+                tried[x] += 1
+            else:
                 return
-            longest = max(best.values())
-            for x in list(self.at):
-                potential[x] += best.get(x, longest)
-            path, x = [], end
-            while x != begin:
-                path.append(via[x])
-                x = self.arcs[via[x] ^ 1][0]
-            step = min(self.arcs[k][1] for k in path)
-            for k in path:
-                self.arcs[k][1] -= step
-                self.arcs[k ^ 1][1] += step
 
 
 def route(patterns: dict[tuple, int], quotas: dict, epochs: int) -> dict[tuple, dict]:
-    """Words that each pattern gives to each of its sources: the n-th repetition of a pattern's words costs
+    """Words that each pattern gives to each of its sources, by the flow: the n-th repetition of a pattern's words costs
     n(n+1)/2, so that repetition is spread; quotas are filled as far as the patterns reach."""
-    users: dict = defaultdict(int)
-    for members in patterns:
-        for s in members:
-            users[s] += 1
-    routes: dict[tuple, dict] = {}
-    shared = {}
-    for members, size in patterns.items():
-        if len(members) == 1 and users[members[0]] == 1:  # a source of its own needs no search
-            routes[members] = {members[0]: min(quotas[members[0]], epochs * size)}
-        else:
-            shared[members] = size
     flow, used = Flow(), {}
-    for members, size in sorted(shared.items(), key=lambda x: [source_order(s) for s in x[0]]):
+    for members, size in sorted(patterns.items(), key=lambda x: [source_order(s) for s in x[0]]):
         for k in range(epochs):
             flow.arc("begin", ("pattern", members), size, k * (k + 1) // 2)
         used[members] = {s: flow.arc(("pattern", members), ("source", s), epochs * size, 0) for s in members}
-    for s in sorted({s for members in shared for s in members}, key=source_order):
+    for s in sorted({s for members in patterns for s in members}, key=source_order):
         flow.arc(("source", s), "end", quotas[s], 0)
-    if shared:
-        flow.run("begin", "end")
-    return routes | {members: {s: flow.arcs[k ^ 1][1] for s, k in arcs.items()} for members, arcs in used.items()}
+    flow.run("begin", "end")
+    return {members: {s: flow.sent(k) for s, k in arcs.items()} for members, arcs in used.items()}
 
 
-def _fill(now: DataFrame, turn: int, small: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def _fill(now: DataFrame, turn: int) -> DataFrame:
     """now with more = 1 for the unchosen documents that fit, in a seeded order, into what is left of their key.
 
     Their words are summed by hash bucket; buckets below the one where the rest runs out are chosen whole, and
@@ -128,13 +163,13 @@ def _fill(now: DataFrame, turn: int, small: Callable[[DataFrame], DataFrame]) ->
     """
     used = now.groupBy("key").agg((F.max("rest") - F.sum(F.col("size") * F.col("more"))).alias("left"))
     turned = F.xxhash64("order", F.lit(turn))
-    now = now.join(small(used), "key").withColumn("turn", turned).withColumn("bucket", F.pmod("turn", F.lit(BUCKETS)))
+    now = now.join(F.broadcast(used), "key").withColumn("turn", turned).withColumn("bucket", F.pmod("turn", F.lit(BUCKETS)))
     fits = (F.col("more") == 0) & (F.col("size") <= F.col("left"))
     in_order = Window.partitionBy("key").orderBy("bucket")
     buckets = now.where(fits).groupBy("key", "bucket").agg(F.sum("size").alias("words"), F.first("left").alias("left"))
     buckets = buckets.withColumn("before", F.sum("words").over(in_order) - F.col("words")).where("before <= left")
     edge = buckets.groupBy("key").agg(F.max(F.struct("bucket", "before")).alias("edge"))
-    placed = now.join(small(edge.select("key", F.col("edge.bucket").alias("last"), F.col("edge.before").alias("before"))), "key", "left")
+    placed = now.join(F.broadcast(edge.select("key", F.col("edge.bucket").alias("last"), F.col("edge.before").alias("before"))), "key", "left")
     at_edge = fits & (F.col("bucket") == F.col("last"))
     within = Window.partitionBy("key").orderBy("turn", "id").rowsBetween(Window.unboundedPreceding, 0)
     whole = placed.where(~F.coalesce(at_edge, F.lit(False))).withColumn("more", F.when(fits & (F.col("bucket") < F.col("last")), 1).otherwise(F.col("more")))
@@ -142,20 +177,23 @@ def _fill(now: DataFrame, turn: int, small: Callable[[DataFrame], DataFrame]) ->
     return cut_slim(whole.unionByName(partly).drop("left", "turn", "bucket", "last", "before"))
 
 
-def _last_changes(now: DataFrame, small: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """key, into and out: the document to choose, and in small sources the one to give up for it, that bring the
-    key's words nearest to its rest; keys that are as near as that already are not listed."""
-    state = now.groupBy("key").agg((F.max("rest") - F.sum(F.col("size") * F.col("more"))).alias("left"), F.count("*").alias("n"), F.max("rest").alias("of")).where("left > 0")
+def _last_changes(now: DataFrame) -> DataFrame:
+    """key, into and out: the document to choose, and perhaps the one to give up for it, that bring the key's words
+    nearest to its rest; keys that are as near as that already are not listed.
+
+    Of the documents of a size, only the first in order can matter, so a key is ordered by its different sizes."""
+    state = now.groupBy("key").agg((F.max("rest") - F.sum(F.col("size") * F.col("more"))).alias("left")).where("left > 0")
     state = cut_slim(state)
-    near = now.where("size > 0").join(small(state), "key")
+    firsts = now.where("size > 0").groupBy("key", "more", "size").agg(F.min(F.struct("order", "id")).alias("first"))
+    near = cut_slim(firsts.join(F.broadcast(state), "key").select("key", "more", "size", "left", "first.order", "first.id"))
     off = F.abs(F.col("size") - F.col("left"))
     added = near.where("more = 0").where(off < F.col("left")).select("key", F.struct(off.alias("off"), "order", F.col("id").alias("into"), F.lit(None).cast("long").alias("out")).alias("change"))
-    by_size = Window.partitionBy("key").orderBy("place", "more", "order", "id").rowsBetween(Window.unboundedPreceding, -1)
-    down = Window.partitionBy("key").orderBy(*[F.desc(c) for c in ("place", "more", "order", "id")]).rowsBetween(Window.unboundedPreceding, -1)
-    placed = near.where((F.col("n") <= SWAPPED) & (F.col("left") * 1000 > F.col("of"))).withColumn("place", F.col("size") + F.col("left") * F.col("more"))
+    near = near.withColumn("place", F.col("size") + F.col("left") * F.col("more"))
+    by_size = Window.partitionBy("key").orderBy("place", "more").rowsBetween(Window.unboundedPreceding, -1)
+    down = Window.partitionBy("key").orderBy(F.desc("place"), F.desc("more")).rowsBetween(Window.unboundedPreceding, -1)
     free = F.when(F.col("more") == 0, F.struct("id", "size", "order"))
     below, above = (F.last(free, ignorenulls=True).over(w) for w in (by_size, down))
-    swaps = placed.withColumn("free", F.array(below, above)).where("more = 1").select("key", "left", "size", "id", F.explode("free").alias("f")).where("f is not null")
+    swaps = near.withColumn("free", F.array(below, above)).where("more = 1").select("key", "left", "size", "id", F.explode("free").alias("f")).where("f is not null")
     off = F.abs(F.col("f.size") - F.col("size") - F.col("left"))
     swaps = swaps.where(off < F.col("left")).select("key", F.struct(off.alias("off"), F.col("f.order").alias("order"), F.col("f.id").alias("into"), F.col("id").alias("out")).alias("change"))
     best = added.unionByName(swaps).groupBy("key").agg(F.min("change").alias("change"))
@@ -201,12 +239,11 @@ def mix(
     kinds = {"key": pa.string(), "rounds": pa.int64(), "rest": pa.int64()}
     rest = sized.sparkSession.createDataFrame(pa.table({n: pa.array(c, t) for (n, t), c in zip(kinds.items(), columns, strict=True)}))
 
-    small = F.broadcast if len(sums) <= BROADCAST_PATTERNS else lambda df: df
-    now = sized.join(small(rest), "key").withColumn("more", F.lit(0))
+    now = sized.join(F.broadcast(rest), "key").withColumn("more", F.lit(0))
     for k in range(PASSES):
-        now = _fill(now, k, small)
-    changes = _last_changes(now, small)
-    full = now.join(small(changes), "key", "left")
+        now = _fill(now, k)
+    changes = _last_changes(now)
+    full = now.join(F.broadcast(changes), "key", "left")
     into, out = F.col("id").eqNullSafe(F.col("into")), F.col("id").eqNullSafe(F.col("out"))
     more = F.when((F.col("more") == 0) & into, 1).when((F.col("more") == 1) & out, 0).otherwise(F.col("more"))
     rows = full.select(F.col("id").alias(id_col), "size", "sources", (F.col("size") * (F.col("rounds") + more)).alias("taken"))

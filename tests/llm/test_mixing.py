@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import itertools
+import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -66,6 +68,48 @@ def test_route_overlapping_costs():
     assert found == best
 
 
+def test_query_is_routed_by_the_flow(spark, sf, monkeypatch):
+    """What the query takes follows from what Flow.run sends: half of it halves the taken words."""
+    runs, whole = [], mixing.Flow.run
+
+    def halved(flow, begin, end):
+        for k, x in enumerate(flow.to):
+            if x == flow.node(end):
+                flow.left[k] //= 2
+        whole(flow, begin, end)
+        runs.append(sum(flow.sent(k) for k, x in enumerate(flow.to) if x == flow.node(end) and k % 2 == 0))
+
+    monkeypatch.setattr(mixing.Flow, "run", halved)
+    rows = queries.op10_source_mixing(spark, sf).toPandas()
+    assert len(runs) == 1 and runs[0] == pytest.approx(rows["size"].sum() / 2, rel=0.01)
+    assert rows["taken"].sum() == pytest.approx(runs[0], rel=0.05)  # documents are whole
+
+
+def test_many_patterns_take_seconds():
+    draw = random.Random(3)
+    names = [f"s{k}" for k in range(60)]
+    patterns: dict = {}
+    while len(patterns) < 10_000:
+        patterns[tuple(sorted(draw.sample(names, draw.randint(1, 4))))] = draw.randint(1, 10**6)
+    sizes = {s: sum(n for m, n in patterns.items() if s in m) for s in names}
+    quotas = {s: round(t) for s, t in mixing.water_fill(sizes, sum(patterns.values()), (5, 2, 1), 3).items()}
+    begin = time.perf_counter()
+    routes = mixing.route(patterns, quotas, 3)
+    assert time.perf_counter() - begin < 20
+    for s in names:
+        assert sum(r.get(s, 0) for r in routes.values()) <= quotas[s]
+    assert sum(sum(r.values()) for r in routes.values()) == pytest.approx(sum(quotas.values()), rel=0.01)
+    assert all(sum(r.values()) <= 3 * patterns[m] for m, r in routes.items())
+
+
+def test_large_sources_end_at_their_target(spark):
+    """The last exchange does not hang on how many documents a source has."""
+    docs = spark.range(30_000).select(F.col("id").alias("doc_id"), (F.col("id") * 7919 % 97 + 50).alias("n"), F.when(F.col("id") % 3 == 0, "b").otherwise("a").alias("source"))
+    out, sources, _ = mixing.mix(docs, "doc_id", F.col("n"), F.array("source"))
+    taken = {r["s"]: r["t"] for r in out.groupBy(F.get("sources", F.lit(0)).alias("s")).agg(F.sum("taken").alias("t")).collect()}
+    assert all(abs(taken[s] - target) <= 1 for s, (_, target) in sources.items())
+
+
 def test_overlapping_sources(spark):
     rows = [(k, "w " * (k % 7 + 1), ["a", "b"] if k % 3 == 0 else ["a"] if k % 3 == 1 else ["b", None]) for k in range(300)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, sources array<string>")
