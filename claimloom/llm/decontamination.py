@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import reduce
 from itertools import accumulate
 
 import ahocorasick
@@ -12,11 +13,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimloom.llm.runtime import cut, fresh
+
 WORDS = re.compile(r"[^\W_]+")
-#: Share of an item's words that may differ, from FUZZY_WORDS on; shorter items must stand in the text word for word,
-#: and those of under MIN_WORDS must be all of it.
-ERRORS, FUZZY_WORDS, MIN_WORDS = 0.2, 10, 5
-#: Characters of items whose pieces are broadcast at a time; more items go in further passes over the documents.
+#: Share of an item's words that may differ.
+ERRORS = 0.2
+#: Characters of items that the driver holds and sends to the tasks at a time; more items go in further passes over the
+#: documents, each a job of its own.
 BLOCK_CHARS = 8_000_000
 
 HITS = "array<struct<item_id:long,distance:int,begin_word:int,end_word:int>>"
@@ -26,9 +29,9 @@ def normal_words(text: str | None) -> list[str]:
     return WORDS.findall((text or "").lower())
 
 
-def error_budget(n: int) -> int:
+def error_budget(n: int, errors: float = ERRORS) -> int:
     """Edits that an item of n words may have."""
-    return int(ERRORS * n) if n >= FUZZY_WORDS else 0
+    return int(errors * n)
 
 
 def pieces(words: list[str], errors: int) -> list[tuple[int, list[str]]]:
@@ -62,18 +65,14 @@ def myers(pattern: list[str], text: list[str]) -> tuple[int, int]:
 class Matcher:
     """Finds the items of a block in texts. Different texts with one id are told apart by number."""
 
-    def __init__(self, items: list[tuple[int | None, str]]) -> None:
-        self.items, self.whole, found = {}, {}, {}
+    def __init__(self, items: list[tuple[int | None, str]], errors: float = ERRORS) -> None:
+        self.items, found = {}, {}
         self.ids = [item for item, _ in items]
         for item, (_, text) in enumerate(items):
             words = normal_words(text)
-            if len(words) < MIN_WORDS:
-                if words:
-                    self.whole.setdefault(" ".join(words), []).append(item)
-                continue
-            errors = error_budget(len(words))
-            self.items[item] = (words, errors)
-            for offset, piece in pieces(words, errors):
+            budget = error_budget(len(words), errors)
+            self.items[item] = (words, budget)
+            for offset, piece in pieces(words, budget) if words else ():
                 found.setdefault(f" {' '.join(piece)} ", []).append((item, offset, len(piece)))
         self.pieces = ahocorasick.Automaton()
         for piece, uses in found.items():
@@ -85,12 +84,9 @@ class Matcher:
     def hits(self, text: str | None) -> list[tuple[int, int, int, int]]:
         """(item, distance, first word, word after the last) of each item that the text holds, once an item."""
         words = normal_words(text)
-        if not words:
+        if not words or not self.any:
             return []
-        joined = f" {' '.join(words)} "
-        least = {self.ids[item]: (0, 0, len(words)) for item in self.whole.get(joined[1:-1], ())}
-        if not self.any:
-            return [(item, *found) for item, found in least.items()]
+        joined, least = f" {' '.join(words)} ", {}
         begins: list[int] = []
         tried, best = set(), {}
         for end, (length, uses) in self.pieces.iter(joined):
@@ -114,45 +110,56 @@ class Matcher:
         return [(item, *found) for item, found in least.items()]
 
 
-def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", unnamed: bool = False) -> list[list[tuple[int | None, str]]]:
-    """The items in blocks of about BLOCK_CHARS characters, those of one id in one block; null texts are no items, null
-    ids only if unnamed."""
+def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", unnamed: bool = False) -> Iterator[list[tuple[int | None, str]]]:
+    """The items in blocks of about BLOCK_CHARS characters, each collected when it is asked for; those of one id are in one
+    block, null texts are no items, null ids only if unnamed. There is one block at least."""
     items = benchmark.where((F.col(id_col).isNotNull() | F.lit(unnamed)) & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    chars = items.agg(F.sum(F.char_length("text"))).first()[0] or 0
-    n = 1 + chars // BLOCK_CHARS
-    return [[(r["id"], r["text"]) for r in items.where(F.pmod(F.when(F.col("id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("id")), F.lit(n)) == k).collect()] for k in range(n)]
+    n = 1 + (items.agg(F.sum(F.char_length("text"))).first()[0] or 0) // BLOCK_CHARS
+    number = F.pmod(F.when(F.col("id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("id")), F.lit(n))
+    for k in range(n):
+        yield [(r["id"], r["text"]) for r in items.where(number == k).collect()]
 
 
-def matches(text: Column, blocks: list[list[tuple[int, str]]]) -> Column:
-    """The benchmark items that a text holds, as an array of struct(item_id, distance, begin_word, end_word).
+def matches(text: Column, block: list[tuple[int | None, str]], errors: float = ERRORS) -> Column:
+    """The items of a block that a text holds, as an array of struct(item_id, distance, begin_word, end_word).
 
-    An item counts as held if a stretch of the text's words is within its error budget by edit distance; words are
-    runs of letters and digits, lower-cased. Items of under MIN_WORDS words must be the whole text. Null
-    and blank texts hold nothing. Each item comes once a text with its least distance found.
+    An item counts as held if a stretch of the text's words is within a share `errors` of the item's words by edit distance;
+    words are runs of letters and digits, lower-cased. An item too short for an error must stand there word for word;
+    an item without words is held by nothing. Null and blank texts hold nothing. Each item comes once a text
+    with its least distance found.
     """
 
-    def one(block: list[tuple[int, str]]) -> Column:
-        @F.pandas_udf(HITS)
-        def udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            matcher = Matcher(block)
-            for texts in batches:
-                yield pd.Series([[dict(zip(("item_id", "distance", "begin_word", "end_word"), h, strict=True)) for h in matcher.hits(t)] for t in texts])
-
-        return udf(text)
+    @F.pandas_udf(HITS)
+    def udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        matcher = Matcher(block, errors)
+        for texts in batches:
+            yield pd.Series([[dict(zip(("item_id", "distance", "begin_word", "end_word"), h, strict=True)) for h in matcher.hits(t)] for t in texts])
 
-    return F.concat(*map(one, blocks)) if len(blocks) > 1 else one(blocks[0])
+    return udf(text)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", errors: float = ERRORS) -> DataFrame:
     """One row for each document and benchmark item it holds: id, item_id, distance, begin_word, end_word.
 
-    Repeated rows of docs give repeated rows; an empty table on either side gives none.
+    Items are held as matches() says; items without an id are left out, for they could not be named. Repeated rows of
+    docs give repeated rows, a row without an id one with a null id; other columns are not read; an empty table on
+    either side gives none. Where there are several blocks of items, each is a pass whose hits are written.
     """
-    found = docs.select(F.col(id_col), matches(F.col(text_col), item_blocks(benchmark)).alias("_hits"))
-    return found.select(id_col, F.inline("_hits"))
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of docs whose text holds no benchmark item, as they are."""
-    found = docs.withColumn("__hits", matches(F.col(text_col), item_blocks(benchmark, unnamed=True)))
-    return found.where(F.size("__hits") == 0).select(docs.columns)
+    passes: list[DataFrame] = []
+    for block in item_blocks(benchmark):
+        if passes:
+            passes[-1] = cut(passes[-1])
+        passes.append(docs.select(F.col(id_col), matches(F.col(text_col), block, errors).alias("hits")).select(id_col, F.inline("hits")))
+    return reduce(DataFrame.unionByName, passes)
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", errors: float = ERRORS) -> DataFrame:
+    """The rows of docs whose text holds no benchmark item, as they are: repeated rows stay, all columns too, rows with a
+    null text stay; items without an id count. Where there are several blocks of items, each is a pass over what the
+    last one left, which is written."""
+    (hits,) = fresh(docs, "hits")
+    now, first = docs, True
+    for block in item_blocks(benchmark, unnamed=True):
+        now = (now if first else cut(now)).withColumn(hits, matches(F.col(text_col), block, errors)).where(F.size(hits) == 0).select(docs.columns)
+        first = False
+    return now
