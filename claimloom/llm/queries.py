@@ -9,11 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimloom.llm import decontamination, html_text, language_id, line_dedup, mixing, paragraphs, passages, prefix_forest, quality, simhash, warc
-from claimloom.llm.runtime import checkpoint_dir, fold_bucket, release, table
+from claimloom.llm.runtime import checkpoint_dir, fold_bucket, modest_batches, release
+from claimloom.llm.runtime import table as read_table
 
 SOURCE_WEIGHTS, MIX_EPOCHS = (5, 2, 1), 3
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    modest_batches(spark)
+    return read_table(spark, sf_dir, name)
+
+
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = fold_bucket(F.col("doc_id"), 5) == 0

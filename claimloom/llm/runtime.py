@@ -29,6 +29,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def modest_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Have whole texts go to Python workers in batches of so many rows at most, for two workers of an executor hold several
+    copies of a batch each; a smaller number that the session has stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder, so that a lost executor costs no recomputation."""
     checkpoint_dir(df.sparkSession)
