@@ -1,211 +1,276 @@
-"""Substring dedup: paragraph MinHash banding, exact Jaccard verification, removals clustered by components."""
+"""Substring dedup: paragraph MinHash banding, exact Jaccard verification, removals clustered by components.
+
+A paragraph is a stretch of words between two cuts that the words themselves set, over line ends, so that a passage is
+cut alike wherever it stands and no words are left out but pieces of under five."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimloom.llm.components import connected_components
-from claimloom.llm.runtime import cut, cut_slim, join_by_key
-
-#: At a Jaccard similarity of 0.8, a pair shares one of 12 bands of 4 with probability 1 - (1 - 0.8 ** 4) ** 12 = 0.998.
-BANDS, ROWS = 12, 4
-#: Words of a shingle, least words of a paragraph, least similarity.
-SHINGLE, MIN_WORDS, SIMILARITY = 5, 40, 0.8
-#: Shingles that are hashed against all permutations at a time; bounds the memory of one very long paragraph.
-BLOCK = 1 << 14
-
+from claimloom.llm.runtime import WORD, Scratch, cut, cut_slim, join_by_key, release
+from claimloom.llm.sets import set_similarity, spanning_links
+
+#: At a Jaccard similarity of 0.8, a pair shares one of 4 bands of 2 with probability 1 - (1 - 0.8 ** 2) ** 4 = 0.983.
+BANDS, ROWS = 4, 2
+#: Words of a shingle, and least similarity.
+SHINGLE, SIMILARITY = 5, 0.8
+#: A cut stands where a pair of words has the least hash of all pairs within so many words; no paragraph is longer than LONGEST.
+NEAR, LONGEST = 5, 64
+#: Words of the shortest stretch of repeated paragraphs that counts. Of 51 words that repeat, 11 are lost at each end on average.
+LEAST_RUN = 20
+#: Words whose hashes are held at a time, but for a longer text.
+BLOCK_WORDS = 1 << 16
 #: Paragraphs of a band up to which each pair is a row; larger bands are compared in blocks of about so many.
 PAIRED, BAND_BLOCK = 16, 256
 
+_BASE = 0x9E3779B97F4A7C15 & ~7 | 5
 _rng = np.random.default_rng(20_240_101)
 _MULTIPLY = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 _ADD = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+_HIGHEST = np.uint64((1 << 64) - 1)
 
 
-def words_of(paragraph: str) -> list[bytes]:
+def words_of(text: str) -> list[bytes]:
     """The words compared: split at white space, A-Z lower-cased."""
-    return paragraph.encode("utf-8", "replace").lower().split()
-
-
-def shingle_hashes(words: list[bytes]) -> np.ndarray:
-    joined, begins = b" ".join(words), [0]
-    for w in words:
-        begins.append(begins[-1] + len(w) + 1)
-    ends = begins[SHINGLE:] or begins[-1:]
-    digest = xxhash.xxh64_intdigest
-    return np.array([digest(joined[a : b - 1]) for a, b in zip(begins, ends, strict=False)], np.uint64)
-
-
-def signature(hashes: np.ndarray) -> np.ndarray:
-    """The least of each permutation of the shingles' hashes."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for k in range(0, len(hashes), BLOCK):
-        least = np.minimum(least, (hashes[k : k + BLOCK, None] * _MULTIPLY + _ADD).min(0))
-    return least
+    return text.encode("utf-8", "replace").lower().split()
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+class Sums:
+    """64-bit hashes of any runs of words, from sums of the words' hashes times powers of an odd number."""
+
+    _up = _down = np.zeros(0, np.uint64)
+
+    def __init__(self, hashes: np.ndarray) -> None:
+        n = len(hashes)
+        if n >= len(Sums._up):
+            Sums._up, Sums._down = _powers(_BASE, 2 * n + 1), _powers(pow(_BASE, -1, 1 << 64), 2 * n + 1)
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(hashes * Sums._up[:n], out=self.sums[1:])
+
+    def hashes(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        x = (self.sums[end] - self.sums[begin]) * Sums._down[begin]
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ x >> np.uint64(shift)) * np.uint64(factor)
+        return x ^ x >> np.uint64(31)
+
+
+class Texts:
+    """The words of some texts in one array, with gaps between texts, and their paragraphs."""
+
+    def __init__(self, texts: list[str]) -> None:
+        digest, hashes, self.begins = xxhash.xxh64_intdigest, [], []
+        self.ends = []
+        for text in texts:
+            self.begins.append(len(hashes))
+            hashes += [digest(w, 3) for w in words_of(text)]
+            self.ends.append(len(hashes))
+            hashes += [0] * (NEAR + 2)
+        self.words = np.array(hashes, np.uint64)
+        self.sums = Sums(self.words)
+        at = np.arange(max(0, len(hashes) - SHINGLE + 1))
+        self.shingles = self.sums.hashes(at, at + SHINGLE)
+
+    def cuts(self) -> np.ndarray:
+        """Where paragraphs begin: at texts, at least pairs of words (of equal ones the first), and so far on that none is too long."""
+        at = np.arange(len(self.words) - 1)
+        pairs = self.sums.hashes(at, at + 2)
+        inside = np.zeros(len(at) + 1, bool)
+        for a, b in zip(self.begins, self.ends, strict=True):
+            inside[a : max(a, b - 1)] = True
+        pairs[~inside[:-1]] = _HIGHEST
+        padded = np.concatenate((np.full(NEAR, _HIGHEST), pairs, np.full(NEAR, _HIGHEST)))
+        least = np.lib.stride_tricks.sliding_window_view(padded, 2 * NEAR + 1).argmin(1) == NEAR
+        found = np.union1d(np.flatnonzero(least & inside[:-1]), np.array(self.begins, np.int64))
+        ends = np.append(found[1:], len(self.words))
+        long = np.flatnonzero(ends - found > LONGEST)
+        return np.union1d(found, np.concatenate([np.arange(found[k], ends[k], LONGEST) for k in long])) if len(long) else found
+
+    def paragraphs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text number, first word in all, and words of each paragraph of at least one shingle."""
+        first = self.cuts()
+        text = np.searchsorted(np.array(self.begins), first, side="right") - 1
+        last = np.minimum(np.append(first[1:], len(self.words)), np.array(self.ends)[text])
+        full = last - first >= SHINGLE
+        return text[full], first[full], (last - first)[full]
+
+    def bands(self, first: np.ndarray, words: np.ndarray) -> list[np.ndarray]:
+        """The band keys of each paragraph, with the number of the band in the highest bits."""
+        spans = np.stack((first, first + words - SHINGLE + 1), axis=1).ravel()
+        keys = []
+        for band in range(BANDS):
+            mixed = np.zeros(len(first), np.uint64)
+            for k in range(band * ROWS, band * ROWS + ROWS):
+                turned = np.append(self.shingles * _MULTIPLY[k] + _ADD[k], _HIGHEST)
+                mixed = (mixed ^ np.minimum.reduceat(turned, spans)[::2] >> np.uint64(16)) * np.uint64(0x9E3779B97F4A7C15)
+                mixed ^= mixed >> np.uint64(29)
+            keys.append(mixed & np.uint64((1 << 60) - 1) | np.uint64(band << 60))
+        return keys
+
+
+def _in_blocks(rows: Iterator[tuple[int, str]]) -> Iterator[tuple[list[int], list[str]]]:
+    ids, texts, chars = [], [], 0
+    for doc, text in rows:
+        ids.append(doc)
+        texts.append(text)
+        chars += len(text)
+        if chars >= 6 * BLOCK_WORDS:
+            yield ids, texts
+            ids, texts, chars = [], [], 0
+    if ids:
+        yield ids, texts
+
+
+def paragraph_table(docs: DataFrame) -> DataFrame:
+    """doc_id, first, words, h and band keys of each paragraph; docs has doc_id and text.
+
+    Paragraphs of under four shingles have no bands: at a similarity of 0.8 and more they are like equal ones only."""
+    fields = [pa.field("doc_id", pa.int64()), pa.field("first", pa.int32()), pa.field("words", pa.int32()), pa.field("h", pa.int64())]
+    schema = pa.schema(fields + [pa.field(f"b{k}", pa.int64()) for k in range(BANDS)])
 
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = (x for b in batches for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        for ids, texts in _in_blocks(pairs):
+            held = Texts(texts)
+            text, first, words = held.paragraphs()
+            if not len(first):
+                continue
+            short = words < SHINGLE + 3
+            bands = [pa.array(b.view(np.int64), mask=short) for b in held.bands(first, words)]
+            whole = held.sums.hashes(first, first + words).view(np.int64)
+            columns = [np.array(ids, np.int64)[text], (first - np.array(held.begins)[text]).astype(np.int32), words.astype(np.int32), whole]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), *bands], schema=schema)
 
-def band_keys(hashes: np.ndarray) -> list[int]:
-    rows = signature(hashes).reshape(BANDS, ROWS) >> np.uint64(16)
-    mixed = np.zeros(BANDS, np.uint64)
-    for k in range(ROWS):
-        mixed = (mixed ^ rows[:, k]) * np.uint64(0x9E3779B97F4A7C15)
-        mixed ^= mixed >> np.uint64(29)
-    return ((mixed & np.uint64((1 << 59) - 1)) | (np.arange(BANDS, dtype=np.uint64) << np.uint64(59))).view(np.int64).tolist()
+    return docs.mapInArrow(split, "doc_id long, first int, words int, h long, " + ", ".join(f"b{k} long" for k in range(BANDS)))
 
 
-def paragraph_table(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """doc_id, position, words, h1, h2 and bands of each line with at least min_words words."""
-    fields = [("doc_id", pa.int64()), ("position", pa.int32()), ("words", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("bands", pa.list_(pa.int64()))]
-    schema = pa.schema(fields)
+def set_table(wanted: DataFrame) -> DataFrame:
+    """h and the sorted hashes of the different shingles of each wanted paragraph (text, paragraphs: h, first, words). A
+    text that does not hold a paragraph there, another one with the same id, gives none for it."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for k, line in enumerate(text.split("\n")):
-                    words = words_of(line)
-                    if len(words) >= min_words:
-                        joined = b" ".join(words)
-                        h1, h2 = (xxhash.xxh64_intdigest(joined, s) - (1 << 63) for s in (1, 2))
-                        rows.append((doc, k, len(words), h1, h2, band_keys(shingle_hashes(words))))
-                if len(rows) >= 4096:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), fields, strict=True)], schema=schema)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), fields, strict=True)], schema=schema)
-
-    known = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long"), text_col)
-    return known.mapInArrow(split, "doc_id long, position int, words int, h1 long, h2 long, bands array<long>")
-
-
-def jaccard(a: Column, b: Column, n: int = SHINGLE) -> Column:
-    """The exact Jaccard similarity of two texts' sets of n-word shingles, A-Z lower-cased."""
-
-    def shingles(text: str) -> set:
-        w = words_of(text)
-        return {tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))}
-
-    @F.pandas_udf("double")
-    def udf(left: pd.Series, right: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(left, right, strict=True):
-            p, q = shingles(x), shingles(y)
-            both = len(p & q)
-            out.append(both / (len(p) + len(q) - both))
-        return pd.Series(out, dtype=float)
-
-    return udf(a, b)
-
-
-def shared_counts(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
-    """How many hashes each two of the sets share, by products of their incidence matrix, some columns at a time."""
-    rows = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
-    order = np.argsort(ids, kind="stable")
-    rows, ids = rows[order], ids[order]
-    out = np.zeros((len(sets), len(sets)), np.float32)
-    for c in range(0, int(ids[-1]) + 1, columns):
-        a, b = np.searchsorted(ids, (c, c + columns))
-        some = np.zeros((len(sets), columns), np.float32)
-        some[rows[a:b], ids[a:b] - c] = 1
-        out += some @ some.T
-    return out
-
+            rows: list[tuple[int, bytes]] = []
+            for text, paragraphs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held = Texts([text])
+                for p in paragraphs:
+                    end = p["first"] + p["words"]
+                    if end <= held.ends[0] and int(held.sums.hashes(np.array([p["first"]]), np.array([end])).view(np.int64)[0]) == p["h"]:
+                        rows.append((p["h"], np.unique(held.shingles[p["first"] : end - SHINGLE + 1]).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["h", "hashes"])
 
-def roots_of(linked: np.ndarray) -> np.ndarray:
-    """The least number that each row of a symmetric matrix of links reaches."""
-    linked = linked | np.eye(len(linked), dtype=bool)
-    root = np.arange(len(linked))
-    while True:
-        least = np.where(linked, root[None, :], len(linked)).min(1)
-        least = least[least]
-        if (least == root).all():
-            return root
-        root = least
+    return wanted.select("text", "paragraphs").mapInArrow(split, "h long, hashes binary")
 
 
 def linked_in_blocks(members: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) that connect what similarity links within the bands of members (band, n, pid, text, bands).
+    """Pairs (a, b) that connect what similarity links within the bands of members (band, n, h, hashes).
 
     A band's paragraphs are dealt into blocks of about BAND_BLOCK; every two blocks, and every block with itself, meet
-    in one task, which compares all pairs whose first common band this is.
+    in one task, and only what joins the task's paragraphs comes out.
     """
     blocks = F.ceil(F.col("n") / BAND_BLOCK).cast("int")
-    dealt = members.withColumn("own", F.pmod(F.xxhash64("pid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("band", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "pid", "text", "bands")
-
-    def compare(key: tuple, held: pd.DataFrame) -> pd.DataFrame:
-        if len(held) < 2:
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        bands, pid = np.stack(held["bands"].to_numpy()).astype(np.int64), held["pid"].to_numpy(np.int64)
-        number = int(np.flatnonzero(bands[0] == key[0])[0])
-        met = np.zeros((len(pid), len(pid)), bool)
-        for k in range(number):
-            met |= bands[:, k, None] == bands[None, :, k]
-        sets = [np.unique(shingle_hashes(words_of(t))) for t in held["text"]]
-        both = shared_counts(sets)
-        sizes = np.array([len(x) for x in sets], np.float32)
-        linked = ~met & (both >= similarity * (sizes[:, None] + sizes[None, :] - both) - 1e-3)
-        root = roots_of(linked)
-        moved = np.flatnonzero(root != np.arange(len(pid)))
-        return pd.DataFrame({"a": pid[root[moved]], "b": pid[moved]})
+    dealt = members.withColumn("own", F.pmod(F.xxhash64("h"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("band", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "h", "hashes")
 
-    return dealt.groupBy("band", "low", "high").applyInPandas(compare, "a long, b long")
+    def compare(held: pd.DataFrame) -> pd.DataFrame:
+        return spanning_links(held, similarity, "h")
 
+    return dealt.groupBy("band", "low", "high").applyInPandas(compare, "a long, b long")
 
-def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """One row for each paragraph that has a like elsewhere: doc_id, position, words, component, copies, removed.
 
-    A paragraph is a line with at least min_words words. Equal ones (by words, A-Z lower-cased) meet as one. Of the
-    different ones, those that share a band are compared by the exact Jaccard similarity of their five-word shingles
-    and linked if it is at least `similarity`; component numbers name connected ones. Of a component, the paragraph
-    with the least id, then position, stays, all others are marked removed; copies counts its paragraphs. In bands
-    of over PAIRED paragraphs the comparisons are made in blocks, inside tasks of a fixed size, and only what joins
-    components comes out of them; no link is lost.
-    Null texts and ids have no paragraphs, repeated rows count once, an empty table gives no rows.
+def repeated_paragraphs(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_run: int = LEAST_RUN, similarity: float = SIMILARITY, broadcast_ids: int = 200_000
+) -> DataFrame:
+    """One row for each stretch of paragraphs that other documents hold too: doc_id, position, words, component,
+    component_position, copies, removed.
+
+    Equal paragraphs (by words, A-Z lower-cased, compared by 64-bit hashes) meet as one. Of the different ones, those
+    that share a band are compared by the exact Jaccard similarity of their five-word shingles and linked if it is at least
+    `similarity`. Of a component of paragraphs that at least two documents hold, the one in the least document, then place,
+    stays, and those in other documents are removed. Neighbouring paragraphs of a document that are all removed or all
+    stay make one stretch; those of under least_run words are left out. position is the number of its first word,
+    component and component_position say where what stays of its first paragraph stands, and copies how often its most
+    frequent paragraph stands anywhere. In bands of over PAIRED paragraphs the comparisons are made in blocks, inside tasks
+    of a fixed size, and only what joins components comes out of them; no link is lost.
+    Null texts and ids and texts of under five words have no paragraphs, repeated rows count once, rows that repeat an id
+    with other texts are one document, an empty table gives no rows.
     """
-    found = cut(paragraph_table(docs, id_col, text_col, min_words))
-    distinct = found.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "position", "bands")).alias("x"), F.count("*").alias("n"))
-    distinct = cut_slim(distinct.select("h1", "h2", F.monotonically_increasing_id().alias("pid"), "n", "x.doc_id", "x.position", "x.bands"))
-    bands = distinct.select("pid", F.explode("bands").alias("band"))
-    shared = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "paragraphs")
+    known = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    found = scratch.written(paragraph_table(known), "found")
+    keys = [f"b{k}" for k in range(BANDS)]
+    place = F.min(F.struct("doc_id", "first")).alias("at")
+    distinct = found.groupBy("h").agg(place, F.max("doc_id").alias("last"), F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("words", *keys)))
+    distinct = scratch.written(distinct, "distinct")
+    release(spark)
+    bands = distinct.select("h", F.explode(F.array(*keys)).alias("band")).where("band is not null")
+    shared = cut_slim(bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"))
+    release(spark)
     members = cut_slim(join_by_key(bands, shared, ["band"], "n"))
-
-    needed = members.select("pid").distinct().join(distinct.select("pid", "doc_id", "position"), "pid").withColumnRenamed("doc_id", "of")
-    lines = docs.select(F.col(id_col).cast("long").alias("of"), F.col(text_col).alias("whole"))
-    texts = needed.groupBy("of").agg(F.collect_list(F.struct("pid", "position")).alias("wanted")).join(lines, "of")
-    texts = texts.withColumn("parts", F.split("whole", "\n", -1))
-    texts = texts.select("parts", F.explode("wanted").alias("w")).select("w.pid", F.get("parts", F.col("w.position")).alias("text"))
-    texts = cut(texts.where("text is not null").dropDuplicates(["pid"]))
-
-    few = members.where(F.col("n") <= PAIRED).select("band", "pid")
-    pairs = few.withColumnRenamed("pid", "a").join(few.withColumnRenamed("pid", "b"), "band").where("a < b").select("a", "b").distinct()
-    sides = pairs.join(texts.toDF("a", "a_text"), "a").join(texts.toDF("b", "b_text"), "b")
-    links = sides.where(jaccard(F.col("a_text"), F.col("b_text")) >= similarity).select("a", "b")
-    many = members.where(F.col("n") > PAIRED).join(texts, "pid").join(distinct.select("pid", "bands"), "pid")
+    release(spark)
+
+    needed = distinct.join(members.select("h").distinct(), "h").select("h", "at", "words")
+    wanted = cut(needed.groupBy("at.doc_id").agg(F.collect_list(F.struct("h", "at.first", "words")).alias("paragraphs")))
+    texts = known
+    if wanted.count() <= broadcast_ids:
+        texts = known.join(F.broadcast(wanted.select("doc_id")), "doc_id", "left_semi")
+    sets = cut(set_table(texts.join(wanted, "doc_id")).dropDuplicates(["h"]))
+
+    few = members.where(F.col("n") <= PAIRED).select("band", "h")
+    pairs = few.withColumnRenamed("h", "a").join(few.withColumnRenamed("h", "b"), "band").where("a < b").select("a", "b").distinct()
+    sides = pairs.join(sets.toDF("a", "a_set"), "a").join(sets.toDF("b", "b_set"), "b")
+    links = sides.where(set_similarity(F.col("a_set"), F.col("b_set")) >= similarity).select("a", "b")
+    many = members.where(F.col("n") > PAIRED).join(sets, "h")
     roots = connected_components(links.unionByName(linked_in_blocks(many, similarity)), "a", "b")
 
-    named = distinct.join(roots, F.col("pid") == F.col("node"), "left").select("h1", "h2", "n", F.coalesce("component", "pid").alias("component"))
-    rows = join_by_key(found.select("doc_id", "position", "words", "h1", "h2").distinct(), named, ["h1", "h2"], "n").drop("n")
-    kept = rows.groupBy("component").agg(F.min(F.struct("doc_id", "position")).alias("kept"), F.count("*").alias("copies")).where("copies > 1")
-    out = join_by_key(rows, kept, ["component"], "copies")
-    first_one = (F.col("doc_id") == F.col("kept.doc_id")) & (F.col("position") == F.col("kept.position"))
-    return out.select("doc_id", "position", "words", F.col("kept.doc_id").alias("component"), F.col("kept.position").alias("component_position"), "copies", (~first_one).alias("removed"))
+    placed = distinct.select("h", "n", "at", "last").join(roots, F.col("h") == F.col("node"), "left").where("n > 1 or node is not null")
+    placed = cut_slim(placed.select("h", "n", "at", "last", F.coalesce("component", "h").alias("component")))
+    kept = placed.groupBy("component").agg(F.min("at").alias("kept"), F.max("last").alias("end"), F.sum("n").alias("copies"), F.count("*").alias("kinds"))
+    named = join_by_key(placed.select("h", "n", "component"), kept.where("kept.doc_id < end").drop("end"), ["component"], "kinds")
+    rows = join_by_key(found.select("doc_id", "first", "words", "h"), named.select("h", "n", "kept", "copies"), ["h"], "n")
+    rows = rows.select("doc_id", "first", "words", "kept", "copies", (F.col("kept.doc_id") < F.col("doc_id")).alias("removed")).dropDuplicates(["doc_id", "first", "words"])
+    in_order = Window.partitionBy("doc_id").orderBy("first", "words")
+    follows = (F.lag(F.col("first") + F.col("words")).over(in_order) == F.col("first")) & (F.lag("removed").over(in_order) == F.col("removed"))
+    rows = rows.withColumn("opens", F.when(follows, 0).otherwise(1)).withColumn("stretch", F.sum("opens").over(in_order))
+    out = rows.groupBy("doc_id", "stretch", "removed").agg(F.min(F.struct("first", "kept")).alias("x"), F.sum("words").cast("int").alias("words"), F.max("copies").alias("copies"))
+    out = out.where(F.col("words") >= least_run)
+    out = cut_slim(out.select("doc_id", F.col("x.first").alias("position"), "words", F.col("x.kept.doc_id").alias("component"), F.col("x.kept.first").alias("component_position"), "copies", "removed"))
+    scratch.remove()
+    return out
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """docs with text_col rid of the paragraphs that repeated_paragraphs marks as removed; null texts stay null."""
+    """docs with text_col rid of the stretches that repeated_paragraphs marks as removed, each with the white space after it;
+    null texts stay null, rows without an id keep theirs."""
+    word = re.compile(WORD)
+
+    @F.pandas_udf("string")
+    def without(texts: pd.Series, stretches: pd.Series) -> pd.Series:
+        out = []
+        for text, gone in zip(texts, stretches, strict=True):
+            if text is not None and gone is not None and len(gone):
+                begins = [m.start() for m in word.finditer(text)] + [len(text)]
+                ranges = sorted((begins[min(s["position"], len(begins) - 1)], begins[min(s["position"] + s["words"], len(begins) - 1)]) for s in gone)
+                text = "".join(text[a:b] for a, b in zip([0, *(b for _, b in ranges)], [*(a for a, _ in ranges), len(text)], strict=True))
+            out.append(text)
+        return pd.Series(out, dtype=object)
+
     marked = repeated_paragraphs(docs, id_col, text_col, **how).where("removed")
-    gone = marked.groupBy(F.col("doc_id").alias("__of")).agg(F.collect_set("position").alias("__gone"))
-    parts = F.col("__parts")
-    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__gone"))
-    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda k: F.get(parts, k)), "\n"))
-    joined = docs.join(gone, F.col(id_col) == F.col("__of"), "left").withColumn("__parts", F.split(F.col(text_col), "\n", -1))
-    return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    gone = marked.groupBy(F.col("doc_id").alias("__of")).agg(F.collect_list(F.struct("position", "words")).alias("__gone"))
+    joined = docs.join(gone, F.col(id_col) == F.col("__of"), "left")
+    return joined.select(*[without(F.col(c), F.col("__gone")).alias(c) if c == text_col else F.col(c) for c in docs.columns])

@@ -8,8 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import decontamination, html_text, language_id, line_dedup, mixing, paragraphs, passages, prefix_forest, quality, simhash, warc
-from claimloom.llm.runtime import checkpoint_dir, fold_bucket, modest_batches, release
+from claimloom.llm import decontamination, html_text, language_id, line_dedup, mixing, paragraphs, prefix_forest, quality, simhash, warc
+from claimloom.llm.runtime import checkpoint_dir, fold_bucket, modest_batches
 from claimloom.llm.runtime import table as read_table
 
 SOURCE_WEIGHTS, MIX_EPOCHS = (5, 2, 1), 3
@@ -43,10 +43,7 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    verbatim = passages.repeated_passages(docs).withColumn("kind", F.lit("passage"))
-    release(spark)
-    return paragraphs.repeated_paragraphs(docs).withColumn("kind", F.lit("line")).unionByName(verbatim)
+    return paragraphs.repeated_paragraphs(table(spark, sf_dir, "documents"))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

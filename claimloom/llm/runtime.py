@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,6 +49,22 @@ def cut_slim(df: DataFrame) -> DataFrame:
     return cut(df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism))
 
 
+class Scratch:
+    """A folder in the shared checkpoint folder for tables of one run, written as Parquet, which is smaller than a
+    checkpoint; remove() deletes it when nothing reads it any more."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.folder = spark, f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4()}"
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{self.folder}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
+
+    def remove(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffles and checkpoints that no living DataFrame needs, before more are written."""
     gc.collect()
