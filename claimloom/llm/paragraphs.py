@@ -135,12 +135,13 @@ def _in_blocks(rows: Iterator[tuple[int, str]]) -> Iterator[tuple[list[int], lis
         yield ids, texts
 
 
-def paragraph_table(docs: DataFrame) -> DataFrame:
-    """doc_id, first, words, h and band keys of each paragraph; docs has doc_id and text.
+def paragraph_table(docs: DataFrame, banded: bool = True) -> DataFrame:
+    """doc_id, first, words, h and, if banded, band keys of each paragraph; docs has doc_id and text.
 
     Paragraphs of under four shingles have no bands: at a similarity of 0.8 and more they are like equal ones only."""
     fields = [pa.field("doc_id", pa.int64()), pa.field("first", pa.int32()), pa.field("words", pa.int32()), pa.field("h", pa.int64())]
-    schema = pa.schema(fields + [pa.field(f"b{k}", pa.int64()) for k in range(BANDS)])
+    keys = [f"b{k}" for k in range(BANDS)] if banded else []
+    schema = pa.schema(fields + [pa.field(k, pa.int64()) for k in keys])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = (x for b in batches for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
@@ -150,16 +151,16 @@ def paragraph_table(docs: DataFrame) -> DataFrame:
             if not len(first):
                 continue
             short = words < SHINGLE + 3
-            bands = [pa.array(b.view(np.int64), mask=short) for b in held.bands(first, words)]
+            bands = [pa.array(b.view(np.int64), mask=short) for b in held.bands(first, words)] if banded else []
             whole = held.sums.hashes(first, first + words).view(np.int64)
             columns = [np.array(ids, np.int64)[text], (first - np.array(held.begins)[text]).astype(np.int32), words.astype(np.int32), whole]
             yield pa.RecordBatch.from_arrays([*map(pa.array, columns), *bands], schema=schema)
 
-    return docs.mapInArrow(split, "doc_id long, first int, words int, h long, " + ", ".join(f"b{k} long" for k in range(BANDS)))
+    return docs.mapInArrow(split, ", ".join(["doc_id long, first int, words int, h long", *(f"{k} long" for k in keys)]))
 
 
 def set_table(wanted: DataFrame) -> DataFrame:
-    """h and the sorted hashes of the different shingles of each wanted paragraph (text, paragraphs: h, first, words). A
+    """pid and the sorted hashes of the different shingles of each wanted paragraph (text, paragraphs: pid, h, first, words). A
     text that does not hold a paragraph there, another one with the same id, gives none for it."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,24 +171,24 @@ def set_table(wanted: DataFrame) -> DataFrame:
                 for p in paragraphs:
                     end = p["first"] + p["words"]
                     if end <= held.ends[0] and int(held.sums.hashes(np.array([p["first"]]), np.array([end])).view(np.int64)[0]) == p["h"]:
-                        rows.append((p["h"], np.unique(held.shingles[p["first"] : end - SHINGLE + 1]).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["h", "hashes"])
+                        rows.append((p["pid"], np.unique(held.shingles[p["first"] : end - SHINGLE + 1]).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["pid", "hashes"])
 
-    return wanted.select("text", "paragraphs").mapInArrow(split, "h long, hashes binary")
+    return wanted.select("text", "paragraphs").mapInArrow(split, "pid long, hashes binary")
 
 
 def linked_in_blocks(members: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) that connect what similarity links within the bands of members (band, n, h, hashes).
+    """Pairs (a, b) that connect what similarity links within the bands of members (band, n, pid, hashes).
 
     A band's paragraphs are dealt into blocks of about BAND_BLOCK; every two blocks, and every block with itself, meet
     in one task, and only what joins the task's paragraphs comes out.
     """
     blocks = F.ceil(F.col("n") / BAND_BLOCK).cast("int")
-    dealt = members.withColumn("own", F.pmod(F.xxhash64("h"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("band", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "h", "hashes")
+    dealt = members.withColumn("own", F.pmod(F.xxhash64("pid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("band", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "pid", "hashes")
 
     def compare(held: pd.DataFrame) -> pd.DataFrame:
-        return spanning_links(held, similarity, "h")
+        return spanning_links(held, similarity, "pid")
 
     return dealt.groupBy("band", "low", "high").applyInPandas(compare, "a long, b long")
 
@@ -212,37 +213,40 @@ def repeated_paragraphs(
     spark = docs.sparkSession
     scratch = Scratch(spark, "paragraphs")
     known = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = scratch.written(paragraph_table(known), "found")
+    found = paragraph_table(known)
     keys = [f"b{k}" for k in range(BANDS)]
     place = F.min(F.struct("doc_id", "first")).alias("at")
     distinct = found.groupBy("h").agg(place, F.max("doc_id").alias("last"), F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("words", *keys)))
-    distinct = scratch.written(distinct, "distinct")
+    distinct = scratch.written(distinct.withColumn("pid", F.monotonically_increasing_id()), "distinct")
     release(spark)
-    bands = distinct.select("h", F.explode(F.array(*keys)).alias("band")).where("band is not null")
+    bands = distinct.select("pid", F.explode(F.array(*keys)).alias("band")).where("band is not null")
     shared = cut_slim(bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"))
     release(spark)
     members = cut_slim(join_by_key(bands, shared, ["band"], "n"))
     release(spark)
 
-    needed = distinct.join(members.select("h").distinct(), "h").select("h", "at", "words")
-    wanted = cut(needed.groupBy("at.doc_id").agg(F.collect_list(F.struct("h", "at.first", "words")).alias("paragraphs")))
+    needed = distinct.select("pid", "h", "at", "words").join(members.select("pid").distinct(), "pid")
+    wanted = cut(needed.groupBy("at.doc_id").agg(F.collect_list(F.struct("pid", "h", "at.first", "words")).alias("paragraphs")))
     texts = known
     if wanted.count() <= broadcast_ids:
         texts = known.join(F.broadcast(wanted.select("doc_id")), "doc_id", "left_semi")
-    sets = cut(set_table(texts.join(wanted, "doc_id")).dropDuplicates(["h"]))
+    sets = cut(set_table(texts.join(wanted, "doc_id")).dropDuplicates(["pid"]))
+    release(spark)
 
-    few = members.where(F.col("n") <= PAIRED).select("band", "h")
-    pairs = few.withColumnRenamed("h", "a").join(few.withColumnRenamed("h", "b"), "band").where("a < b").select("a", "b").distinct()
+    few = members.where(F.col("n") <= PAIRED).select("band", "pid")
+    pairs = few.withColumnRenamed("pid", "a").join(few.withColumnRenamed("pid", "b"), "band").where("a < b").select("a", "b").distinct()
     sides = pairs.join(sets.toDF("a", "a_set"), "a").join(sets.toDF("b", "b_set"), "b")
     links = sides.where(set_similarity(F.col("a_set"), F.col("b_set")) >= similarity).select("a", "b")
-    many = members.where(F.col("n") > PAIRED).join(sets, "h")
+    many = members.where(F.col("n") > PAIRED).join(sets, "pid")
     roots = connected_components(links.unionByName(linked_in_blocks(many, similarity)), "a", "b")
+    release(spark)
 
-    placed = distinct.select("h", "n", "at", "last").join(roots, F.col("h") == F.col("node"), "left").where("n > 1 or node is not null")
-    placed = cut_slim(placed.select("h", "n", "at", "last", F.coalesce("component", "h").alias("component")))
+    placed = distinct.select("pid", "h", "n", "at", "last").join(roots, F.col("pid") == F.col("node"), "left").where("n > 1 or node is not null")
+    placed = cut_slim(placed.select("h", "n", "at", "last", F.coalesce("component", "pid").alias("component")))
     kept = placed.groupBy("component").agg(F.min("at").alias("kept"), F.max("last").alias("end"), F.sum("n").alias("copies"), F.count("*").alias("kinds"))
     named = join_by_key(placed.select("h", "n", "component"), kept.where("kept.doc_id < end").drop("end"), ["component"], "kinds")
-    rows = join_by_key(found.select("doc_id", "first", "words", "h"), named.select("h", "n", "kept", "copies"), ["h"], "n")
+    found = scratch.written(paragraph_table(known, banded=False), "found")  # made again, which is less than kept with its bands
+    rows = join_by_key(found, named.select("h", "n", "kept", "copies"), ["h"], "n")
     rows = rows.select("doc_id", "first", "words", "kept", "copies", (F.col("kept.doc_id") < F.col("doc_id")).alias("removed")).dropDuplicates(["doc_id", "first", "words"])
     in_order = Window.partitionBy("doc_id").orderBy("first", "words")
     follows = (F.lag(F.col("first") + F.col("words")).over(in_order) == F.col("first")) & (F.lag("removed").over(in_order) == F.col("removed"))

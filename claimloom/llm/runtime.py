@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -67,8 +68,10 @@ class Scratch:
 
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffles and checkpoints that no living DataFrame needs, before more are written."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what one collection frees may hold the next
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
