@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,24 +13,23 @@ from pyspark.sql import functions as F
 
 from claimloom.llm.runtime import cut_slim
 
-TOKENS = re.compile(
-    r"<!--(?s:.*?)(?:-->|\Z)"
-    r"|<(?P<raw>script|style|textarea|title|noscript|iframe|template|svg|math|select|noframes|xmp)\b(?s:.*?)(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<(?:[!?/][^>]*(?:>|\Z)|[a-z](?:[^>\"']|\"[^\"]*\"|'[^']*')*\Z)",
-    re.IGNORECASE,
-)
+NAME = re.compile(r"(/?)([a-z][a-z0-9:-]*)", re.IGNORECASE)
+PLAIN = re.compile(r"[^>\"']*")
 ATTRIBUTE = re.compile(r"""([a-z_:][-\w:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
 NUMBERS = re.compile(r"\d+")
 
-#: HTML elements by role.
+#: HTML elements by role. What is in RAW is no text of the page.
+RAW = frozenset("script style textarea title noscript iframe template svg select noframes xmp".split())
+MATH = frozenset("math semantics mrow mi mn mo ms mtext mspace msup msub msubsup mfrac msqrt mroot mover munder munderover mstyle mpadded mphantom menclose".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()) | MATH
 BOILERPLATE = frozenset("nav header footer aside form button dialog menu input fieldset object audio video canvas".split())
 CLOSES_P = frozenset("address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = frozenset("ul ol dl table div article section main body aside nav".split())
 CONTAINERS = frozenset("article main section div td body blockquote".split())
+#: Elements whose names never make them noise: the page itself, and what only articles use.
+UNNAMED = frozenset("html body article main blockquote pre code h1 h2 h3 h4 h5 h6".split()) | MATH
 #: Words in classes, ids and roles that name what is not the article.
 NOISE = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist cookie cookies copyright disqus footer header hidden "
@@ -37,15 +38,85 @@ NOISE = frozenset(
 )
 #: Words after which a noise word in the same name says what a page is about or has not.
 TURNED = frozenset("has no with without category tag".split())
+#: Paths that a page votes for.
+VOTES = 3
 #: What a container's text counts inside a node that is kept in spite of its name.
 WEAK = 0.25
 
 
 class Node:
-    __slots__ = ("children", "named", "noisy", "parent", "path", "tag", "weak")
+    __slots__ = ("children", "holder", "named", "noisy", "parent", "path", "tag", "weak")
 
-    def __init__(self, tag: str, parent: Node | None, path: str, noisy: bool, named: bool = False) -> None:
+    def __init__(self, tag: str, parent: Node | None, path: int, noisy: bool, named: bool = False) -> None:
         self.tag, self.parent, self.path, self.noisy, self.named, self.weak, self.children = tag, parent, path, noisy, named, False, []
+        self.holder: Node | None = self if tag in CONTAINERS else parent and parent.holder  # the nearest container
+
+
+class Paths:
+    """The generalised tag-class paths of a page by number; each is known by the path above it and one step."""
+
+    def __init__(self) -> None:
+        self.numbers: dict[tuple[int, str], int] = {}
+        self.steps: list[tuple[int, str]] = [(0, "")]
+
+    def number(self, above: int, step: str) -> int:
+        found = self.numbers.setdefault((above, step), len(self.steps))
+        if found == len(self.steps):
+            self.steps.append((above, step))
+        return found
+
+    def text(self, number: int) -> str:
+        steps = []
+        while number:
+            number, step = self.steps[number]
+            steps.append(step)
+        return ">".join(["", *reversed(steps)])
+
+    def find(self, path: str) -> int | None:
+        number: int | None = 0
+        for step in path.split(">")[1:]:
+            number = None if number is None else self.numbers.get((number, step))
+        return number
+
+
+def tokens(page: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """(begin, end, slash, tag in lower case, what follows the tag's name) of the page's markup, each character read once.
+
+    Comments, declarations and RAW elements with their content have no tag. A quote that never ends does not hide the end
+    of its tag, and a tag that the page's end cuts is markup."""
+    at, size = 0, len(page)
+    ends = dict.fromkeys("\"'", True)  # whether a further quote of this kind may follow
+    while (begin := page.find("<", at)) >= 0:
+        at = begin + 1
+        if page.startswith("!--", at):
+            stop = page.find("-->", at + 3)
+            at = size if stop < 0 else stop + 3
+            yield begin, at, "", "", ""
+            continue
+        name = NAME.match(page, at)
+        if not name:
+            if at < size and page[at] in "!?/":
+                stop = page.find(">", at)
+                at = size if stop < 0 else stop + 1
+                yield begin, at, "", "", ""
+            continue
+        at = PLAIN.match(page, name.end()).end()
+        while at < size and page[at] != ">":
+            stop = page.find(page[at], at + 1) if ends[page[at]] else -1
+            if stop < 0:
+                ends[page[at]] = False
+                stop = page.find(">", at)
+                at = size if stop < 0 else stop
+                break
+            at = PLAIN.match(page, stop + 1).end()
+        rest, tag = page[name.end() : at], name[2].lower()
+        at = min(at + 1, size)
+        if tag in RAW and not name[1]:
+            close = re.compile(rf"</{tag}(?![a-z0-9:-])", re.IGNORECASE).search(page, at)
+            stop = page.find(">", close.end()) if close else -1
+            at = size if stop < 0 else stop + 1
+            tag = ""
+        yield begin, at, name[1], tag, rest
 
 
 def attributes(rest: str) -> dict[str, str]:
@@ -92,55 +163,66 @@ def settle(root: Node) -> None:
             x.weak = x.weak or not x.noisy
 
 
-def parse(page: str | None, by_name: bool = True) -> Node:
-    """The page's tree. Scripts and comments are left out, a new paragraph closes an open one, ends without a start
-    are ignored, and what a cut page leaves open stays open. Paths generalise numbers and have no element ids. If not
+def parse(page: str | None, by_name: bool = True) -> tuple[Node, Paths]:
+    """The page's tree and its paths. Scripts and comments are left out, a new paragraph closes an open one, ends without a
+    start are ignored, and what a cut page leaves open stays open. Paths generalise numbers and have no element ids. If not
     by_name, classes, ids and roles make no node noise."""
-    root = at = Node("", None, "", False)
-    page = page or ""
+    root = at = Node("", None, 0, False)
+    page, paths = page or "", Paths()
     last, any_named = 0, False
+    opened: Counter = Counter()
 
     def add(text: str) -> None:
         if text:
             at.children.append(html.unescape(text) if "&" in text else text)
 
-    for m in TOKENS.finditer(page):
-        add(page[last : m.start()])
-        last = m.end()
-        tag = (m["tag"] or "").lower()
+    def leave(node: Node) -> Node:
+        """Close what is open up to the node, and it too."""
+        x = at
+        while x is not node.parent:
+            opened[x.tag] -= 1
+            x = x.parent
+        return x
+
+    for begin, end, slash, tag, rest in tokens(page):
+        add(page[last:begin])
+        last = end
         if not tag:
             continue
-        if m["end"]:
-            node = at
+        if slash:
+            node = at if opened[tag] else root
             while node is not root and node.tag != tag:
                 if node.tag in SCOPES and tag in INLINE:
                     node = root
                     break
                 node = node.parent
             if node is not root:
-                at = node.parent
+                at = leave(node)
             elif tag == "p":
-                at.children.append(Node("p", at, at.path + ">p", False))
+                at.children.append(Node("p", at, paths.number(at.path, "p"), False))
             continue
-        if tag in CLOSES_P or tag in SIBLINGS:
-            node, over = at, SIBLINGS.get(tag, ("p",))
+        over = (*SIBLINGS.get(tag, ()), *(("p",) if tag in CLOSES_P else ()))
+        if any(opened[x] for x in over):
+            node, outermost = at, None
             while node is not root and node.tag not in SCOPES:
-                if node.tag in over or tag in CLOSES_P and node.tag == "p":
-                    at = node.parent
+                if node.tag in over:
+                    outermost = node
                 node = node.parent
-        found = attributes(m["rest"]) if m["rest"] and not m["rest"].isspace() else {}
+            at = leave(outermost) if outermost else at
+        found = attributes(rest) if rest and not rest.isspace() else {}
         noisy = tag in BOILERPLATE or "hidden" in found or "display:none" in found.get("style", "").replace(" ", "")
-        named = by_name and tag not in ("html", "body", "article", "main") and any(noise_named(found[k]) for k in ("class", "id", "role") if k in found)
-        step = ".".join([tag, *sorted({NUMBERS.sub("#", c) for c in found.get("class", "").lower().split()})])
-        node = Node(tag, at, f"{at.path}>{step}", noisy, named)
+        named = by_name and tag not in UNNAMED and any(noise_named(found[k]) for k in ("class", "id", "role") if k in found)
+        step = ".".join([tag, *sorted({NUMBERS.sub("#", c) for c in found.get("class", "").lower().replace(">", "").split()})])
+        node = Node(tag, at, paths.number(at.path, step), noisy, named)
         any_named = any_named or named
         at.children.append(node)
-        if tag not in VOID and not m["rest"].endswith("/"):
+        if tag not in VOID and not rest.endswith("/"):
             at = node
+            opened[tag] += 1
     add(page[last:])
     if any_named:
         settle(root)
-    return root
+    return root, paths
 
 
 def blocks(node: Node) -> list[str]:
@@ -181,8 +263,8 @@ def nodes(root: Node) -> list[Node]:
     return out
 
 
-def container_scores(root: Node) -> list[tuple[str, float]]:
-    """(path, score) of the page's containers. A container scores the characters of the blocks that it holds,
+def container_scores(root: Node, paths: Paths) -> list[tuple[str, float]]:
+    """(path, score) of the page's VOTES best containers. A container scores the characters of the blocks that it holds,
     less those of links, halved for each container in between; article and main count double."""
     score: dict[int, float] = {}
     kept: dict[int, Node] = {}
@@ -198,40 +280,40 @@ def container_scores(root: Node) -> list[tuple[str, float]]:
                 own, linked = own + n, linked + n * link
             elif x.tag in INLINE and not x.noisy:
                 stack.extend((c, link or x.tag == "a") for c in x.children)
-        gain, up = float(own - 2 * linked) * (WEAK if node.weak else 1), node
-        while gain > 0.5 and up is not root:
-            if up.tag in CONTAINERS:
-                kept[id(up)] = up
-                score[id(up)] = score.get(id(up), 0.0) + gain * (2 if up.tag in ("article", "main") else 1)
-                gain /= 2
-            up = up.parent
-    out: dict[str, float] = {}
+        gain, up = float(own - 2 * linked) * (WEAK if node.weak else 1), node.holder
+        while gain > 0.5 and up is not None:
+            kept[id(up)] = up
+            score[id(up)] = score.get(id(up), 0.0) + gain * (2 if up.tag in ("article", "main") else 1)
+            gain /= 2
+            up = up.parent.holder
+    out: dict[int, float] = {}
     for k, node in kept.items():
         out[node.path] = max(out.get(node.path, 0.0), score[k])
-    return sorted(out.items(), key=lambda x: (-x[1], x[0]))
+    least = sorted(out.values(), reverse=True)[:VOTES][-1:]
+    return sorted(((paths.text(path), x) for path, x in out.items() if x >= least[0]), key=lambda x: (-x[1], x[0]))[:VOTES]
 
 
 def extract_text(page: str | None, path: str | None) -> str:
     """The text of the page's nodes at the path, or of its own best container where the path has no text; where nothing
     at all is left, the same without noise by name."""
-    return text_at(parse(page), path) or text_at(parse(page, by_name=False), path)
+    return text_at(*parse(page), path) or text_at(*parse(page, by_name=False), path)
 
 
-def text_at(root: Node, path: str | None) -> str:
+def text_at(root: Node, paths: Paths, path: str | None) -> str:
 
-    def at(wanted: str) -> list[str]:
+    def at(wanted: int | None) -> list[str]:
         found, inside = [], set()
-        for node in nodes(root):
+        for node in nodes(root) if wanted is not None else ():
             if id(node.parent) in inside or node.path == wanted:
                 inside.add(id(node))
                 if id(node.parent) not in inside:
                     found += blocks(node)
         return found
 
-    out = at(path) if path else []
+    out = at(paths.find(path)) if path else []
     if not out:
-        best = container_scores(root)
-        out = at(best[0][0]) if best else blocks(root)
+        best = container_scores(root, paths)
+        out = at(paths.find(best[0][0])) if best else blocks(root)
     return "\n".join(out)
 
 
@@ -240,14 +322,14 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def page_votes(page: Column, top: int = 3) -> Column:
+def page_votes(page: Column) -> Column:
     """The page's best paths as array<struct(path, share)>, with shares of the best score."""
 
     @F.pandas_udf("array<struct<path:string,share:double>>")
     def udf(pages: pd.Series) -> pd.Series:
         out = []
         for p in pages:
-            found = container_scores(parse(p))[:top]
+            found = container_scores(*parse(p))
             out.append([{"path": path, "share": s / found[0][1]} for path, s in found])
         return pd.Series(out)
 

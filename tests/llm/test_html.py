@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import re
+import time
+import tracemalloc
 
 import pytest
 
@@ -15,7 +17,7 @@ TEXT = "A & B\nFirst bold text goes on\nSecond <p> link here, quite a bit longer
 
 
 def test_page():
-    best = html_text.container_scores(html_text.parse(PAGE))[0][0]
+    best = html_text.container_scores(*html_text.parse(PAGE))[0][0]
     assert html_text.extract_text(PAGE, best) == TEXT
     assert html_text.extract_text(PAGE, None) == TEXT
     assert html_text.extract_text(PAGE, ">html>body>nowhere") == TEXT
@@ -75,7 +77,7 @@ TOLD = "Title\n" + ("some words of the story " * 9).strip()
     ],
 )
 def test_noise_words_do_not_empty_a_page(page):
-    best = html_text.container_scores(html_text.parse(page))[0][0]
+    best = html_text.container_scores(*html_text.parse(page))[0][0]
     assert html_text.extract_text(page, best) == html_text.extract_text(page, None)
     assert TOLD in html_text.extract_text(page, None) and len(html_text.extract_text(page, None)) < len(TOLD) + 5
 
@@ -88,3 +90,47 @@ def test_noise_words_still_drop_what_is_aside():
 
 def test_nothing_left():
     assert html_text.extract_text("<body><div class='notice'>one two</div><div class='social'>three four</div></body>", None) != ""
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<p>a</p>" + "<a href=\"x " * 90_000 + "<p>end", None),
+        ("<p>a</p>" + "<a href='x <b title=\"y " * 45_000, None),
+        ("<div class='c7'>" * 100_000 + "deep", "deep"),
+        ("<center>" * 100_000 + "<p>deep" + "</b></i></center></p>" * 50_000, "deep"),
+        ("<b>" * 100_000 + "x" + "</i>" * 100_000, "x"),
+        ("<p><li>" * 70_000 + "x", "x"),
+        ("<!-- " * 150_000, ""),
+        ("<script>" * 100_000 + "</script", ""),
+        ("<article>" + "<center>word " * 100_000, None),
+    ],
+)
+def test_hostile_pages_take_a_second(page, text):
+    tracemalloc.start()
+    begin = time.process_time()
+    got = html_text.extract_text(page, None)
+    taken, (_, most) = time.process_time() - begin, tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert text is None or got == text
+    assert taken < 25 and most < 250e6  # tracing alone makes this several times slower
+    with_time = time.process_time()
+    html_text.container_scores(*html_text.parse(page))
+    assert time.process_time() - with_time < 4
+
+
+def test_mathematics_is_text():
+    page = "<article><p>Let <math><mi>E</mi><mo>=</mo><mi>m</mi></math> hold.</p><math><mi>x</mi></math></article>"
+    assert html_text.extract_text(page, None) == "Let E=m hold.\nx"
+    assert "told" in html_text.extract_text(f"<article>{STORY}<blockquote class='notice-text'>told</blockquote></article>", None)
+
+
+def test_hosts_without_article_vote(spark):
+    """Templates of plain div elements: the votes find the host's own container, whatever it is called."""
+    rows = []
+    for host in range(3):
+        for k in range(6):
+            side = "<div class='box'><p>" + "links and other matter " * (12 if k == 0 else 1) + "</p></div>"
+            rows.append((len(rows), f"https://h{host}.example/{k}", f"<body>{side}<div class='c{host} text'><p>{'story text of the page ' * 4}{k}</p></div></body>"))
+    found = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert all(r["text"] == f"{'story text of the page ' * 4}{r['url'][-1]}" for r in found) and len(found) == 18
