@@ -92,6 +92,8 @@ def nearest(
     members = cut_slim(rows.select("id", "asks", "h1", "h2").distinct().join(distinct.select("h1", "h2", "vid"), ["h1", "h2"]).select("id", "asks", "vid"))
     total = distinct.count()
     codes = Codes(dim, trees, SYMBOLS, seed)
+    element = vectors.schema[vector_col].dataType.elementType.typeName()
+    exact, kind = ("float", np.float32) if element == "float" else ("double", np.float64)  # scores are those of the vectors as they are
     wanted = max(least, int(share * total))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,10 +158,10 @@ def nearest(
             if not len(mine):
                 continue
             order, near = mine["code"].to_numpy(np.int64), mine["vid"].to_numpy(np.int64)
-            x = np.frombuffer(b"".join(mine["v"]), np.float32).reshape(-1, dim).astype(np.float64)
+            x = np.frombuffer(b"".join(mine["v"]), kind).reshape(-1, dim).astype(np.float64)
             low, high = codes.bounds(some["code"].to_numpy(np.int64), some["level"].to_numpy(np.int64))
             a, b = np.searchsorted(order, low), np.searchsorted(order, high)
-            vid, q = some["vid"].to_numpy(np.int64), np.frombuffer(b"".join(some["v"]), np.float32).reshape(-1, dim).astype(np.float64)
+            vid, q = some["vid"].to_numpy(np.int64), np.frombuffer(b"".join(some["v"]), kind).reshape(-1, dim).astype(np.float64)
             groups = pd.Series(np.arange(len(a))).groupby([a, b]).indices
             for (i, j), at in groups.items():
                 if i == j:
@@ -183,9 +185,9 @@ def nearest(
 
     @F.pandas_udf("binary")
     def packed(v: pd.Series) -> pd.Series:
-        return pd.Series([np.asarray(x, np.float32).tobytes() for x in v])
+        return pd.Series([np.asarray(x, kind).tobytes() for x in v])
 
-    plain = cut(distinct.select("vid", packed(F.col("v").cast("array<float>")).alias("v")))
+    plain = cut(distinct.select("vid", packed(F.col("v").cast(f"array<{exact}>")).alias("v")))
     levels = asked.join(stops, "vid", "left").withColumn("level", F.coalesce("level", F.lit(0)))
     levels = levels.where("level > 0").unionByName(levels.where("level = 0 and tree = 0").groupBy("vid", "tree", "level").agg(F.min("code").alias("code")))
     second = levels.distinct().withColumn("block", F.explode(spread(F.col("level"))))

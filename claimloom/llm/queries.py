@@ -21,8 +21,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows without an id are not held out and teach nothing, for no label can name them."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    held_out = fold_bucket(F.col("doc_id"), 5) == 0
+    held_out = F.coalesce(fold_bucket(F.col("doc_id"), 5) == 0, F.lit(False))
     model = quality.fit(docs.where(~held_out), table(spark, sf_dir, "labels").where(~held_out))
     scored = docs.select("doc_id", held_out.alias("held_out"), quality.quality_score(F.col("text"), model).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
@@ -62,9 +63,11 @@ def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows without an id are not held out and teach nothing."""
     docs = table(spark, sf_dir, "documents")
-    held_out = fold_bucket(F.col("doc_id"), 4) == 2
-    model = language_id.train(docs.where(~held_out))
+    bucket = fold_bucket(F.col("doc_id"), 4)
+    held_out = F.coalesce(bucket == 2, F.lit(False))
+    model = language_id.train(docs.where(bucket != 2))
     found = docs.select("doc_id", held_out.alias("held_out"), language_id.language(F.col("text"), model).alias("found"))
     return found.select("doc_id", "held_out", F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"))
 

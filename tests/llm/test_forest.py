@@ -69,3 +69,10 @@ def test_codes():
     assert all(((code >= a) & (code < b)).tolist() == (shared == s).tolist() for a, b, s in zip(low, high, shared, strict=True))
     low, high = codes.bounds(code, 0)
     assert (low == 0).all() and (high > code.max()).all()
+
+
+def test_scores_of_doubles_are_exact(spark):
+    draw = np.random.default_rng(4)
+    x = draw.standard_normal((60, 8)) + 1e-9
+    found = prefix_forest.nearest(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>"), F.col("vec_id") < 5, k=3).collect()
+    assert len(found) == 15 and all(abs(r["score"] - float(x[r["query_id"]] @ x[r["vec_id"]])) < 1e-13 for r in found)

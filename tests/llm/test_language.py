@@ -78,3 +78,29 @@ def test_many_paths_at_once():
             total = lambda p, part: sum(part[k, x] for k, x in enumerate(p)) - 3.0 * sum(a != b for a, b in zip(p, p[1:], strict=False))
             part = scores[end - n : end].astype(float)
             assert total(path[end - n : end], part) == pytest.approx(total(slow_path(part, 3.0), part), abs=1e-3)
+
+
+def test_query_against_plain_viterbi(spark, sf):
+    """The query's language of every document by a path sought word by word, with the model fitted again."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = language_id.train(docs.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2))
+
+    def slow(text):
+        scores, letters, _ = language_id.word_scores([text or ""], model)
+        if not len(scores):
+            return "und"
+        best, back = scores[0].astype(float), []
+        for row in scores[1:].astype(float):
+            top = int(best.argmax())
+            back.append([k if best[k] >= best[top] - language_id.SWITCH else top for k in range(len(best))])
+            best = np.maximum(best, best[top] - language_id.SWITCH) + row
+        path = [int(best.argmax())]
+        for step in reversed(back):
+            path.append(step[path[-1]])
+        held = np.bincount(path[::-1], letters, len(model.languages))
+        return model.languages[int(held.argmax())]
+
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    found = queries.op9_language_id(spark, sf).collect()
+    wrong = [r["doc_id"] for r in found if r["lang_pred"] != slow(texts[r["doc_id"]])]
+    assert len(found) == len(texts) and len(wrong) <= len(texts) // 200  # float32 sums may turn a tie

@@ -62,3 +62,11 @@ def test_query_digest(spark, sf):
     source = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     for i, text, n, dropped in slow(source):
         assert (rows[i]["n_lines"], rows[i]["n_dropped"], rows[i]["kept_sha256"]) == (n, dropped, hashlib.sha256(text.encode()).hexdigest())
+
+
+def test_one_id_with_different_texts_and_clashing_columns(spark):
+    rows = [(1, "a shared line of text\nonly here, in row one", 1, 1, "x"), (2, "first of the second\nA shared line of text ", 2, 2, "y"), (2, "a shared line of text\nother row of the second", 3, 3, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, line_id int, line_gone int, LINE_PARTS string")
+    found = line_dedup.drop_repeated_lines(docs)
+    assert found.columns == [*docs.columns, "n_lines", "n_dropped"]
+    assert sorted((r["doc_id"], r["line_id"], r["text"]) for r in found.collect()) == [(1, 1, rows[0][1]), (2, 2, "first of the second"), (2, 3, "other row of the second")]

@@ -1,10 +1,13 @@
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from claimloom.llm import quality, queries
 
 
@@ -72,3 +75,26 @@ def test_edges(spark):
     assert docs.select(quality.quality_score(docs["text"], model).alias("s")).where("s between 0 and 1").count() == 41
     assert len(quality.fit(docs, labels.where("false")).roots) == 0
     assert docs.where("false").select(quality.quality_score(docs["text"], model)).count() == 0
+
+
+def test_query_against_plain_descent(spark, sf):
+    """The query's score of every document is what each tree gives, node by node, with the model fitted again."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    fold = lambda i: zlib.crc32(str(i).encode()) % 5
+    taught = [i for (i,) in docs.select("doc_id").collect() if fold(i)]
+    model = quality.fit(docs.where(F.col("doc_id").isin(taught)), spark.read.parquet(f"{sf}/labels.parquet").where(F.col("doc_id").isin(taught)))
+
+    def slow(text):
+        x, margin = quality.statistics(text), model.base
+        for node in model.roots:
+            while model.left[node] != node:
+                node = model.left[node] if x[model.feature[node]] <= model.threshold[node] else model.right[node]
+            margin += model.value[node]
+        return 1 / (1 + math.exp(-margin))
+
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    found = queries.op1_quality_classifier(spark, sf).collect()
+    assert {r["doc_id"] for r in found} == set(texts)
+    for r in found:
+        assert abs(r["score"] - slow(texts[r["doc_id"]])) < 1e-9
+        assert r["held_out"] == (fold(r["doc_id"]) == 0) and r["predicted"] == (r["score"] >= 0.3)
