@@ -34,9 +34,19 @@ def hashing_encoder(dim: int = 384) -> Encoder:
     return encode
 
 
-def embed(text: Column, make: Callable[[], Encoder], mark: str = PASSAGE, dim: int = 384) -> Column:
+def embed(text: Column, make: Callable[[], Encoder], mark: str = PASSAGE, dim: int = 384, isolate: bool = False) -> Column:
     """Unit vectors of a text column; null and blank texts give null. The encoder is made once a task and gets whole
-    batches; a vector of another length is an error."""
+    batches; a vector of another length is an error. With isolate, a batch on which the encoder fails is tried text by text,
+    and those on which it fails have null."""
+
+    def each(encode: Encoder, texts: list[str]) -> list:
+        out = []
+        for t in texts:
+            try:
+                out.append(np.asarray(encode([t]), float)[0])
+            except Exception:
+                out.append(np.full(dim, np.nan))
+        return out
 
     @F.pandas_udf("array<float>")
     def udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -45,12 +55,18 @@ def embed(text: Column, make: Callable[[], Encoder], mark: str = PASSAGE, dim: i
             known = [k for k, t in enumerate(texts) if t and t.strip()]
             out: list = [None] * len(texts)
             if known:
-                found = np.asarray(encode([mark + texts.iloc[k] for k in known]), float)
+                given = [mark + texts.iloc[k] for k in known]
+                try:
+                    found = np.asarray(encode(given), float)
+                except Exception:
+                    if not isolate:
+                        raise
+                    found = np.asarray(each(encode, given), float)
                 if found.shape[1] != dim:
                     raise ValueError(f"the encoder gives {found.shape[1]} numbers, not {dim}")
                 size = np.linalg.norm(found, axis=1, keepdims=True)
                 for k, v in zip(known, (found / np.where(size > 0, size, 1)).astype(np.float32), strict=True):
-                    out[k] = v
+                    out[k] = None if np.isnan(v).any() else v
             yield pd.Series(out)
 
     return udf(text)

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimloom.functions.text import three_valued
 from claimloom.functions.vectors import similarity_score
-from claimloom.operators import joins, measures, ranking, rules
+from claimloom.operators import joins, measures, ranking, rules, views
 from claimloom.operators.views import json_decimal, json_text
 from claimloom.plans.guard import guarded_sql
 from claimloom.plans.registry import query, table
@@ -51,9 +51,9 @@ def null_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%1%' OR p_type ILIKE '%steel%'")
+@query("SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%RED%' OR p_type ILIKE 'eco%my'")
 def case_blind_like(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").where(F.col("p_name").ilike("%1%") | F.col("p_type").ilike("%steel%")).select("p_partkey", "p_name")
+    return table(spark, sf_dir, "part").where(F.col("p_name").ilike("%RED%") | F.col("p_type").ilike("eco%my")).select("p_partkey", "p_name")
 
 
 @query("SELECT event_id, user_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 3 DAY AND event_type IN ('error', 'signup')")
@@ -148,7 +148,6 @@ def grouped_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT row_number() OVER (ORDER BY md5(o_orderkey::VARCHAR), o_orderkey) AS position, o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 50 = 0")
 def pinned_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of a pinned list of ids, in the list's order; the list is small."""
-    from pyspark.sql import Window
 
     orders = table(spark, sf_dir, "orders")
     ids = orders.where("o_orderkey % 50 = 0").select("o_orderkey", F.row_number().over(Window.orderBy(F.md5(F.col("o_orderkey").cast("string")), "o_orderkey")).alias("position"))
@@ -219,11 +218,16 @@ def replay_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.take_phases(table(spark, sf_dir, "orders"), phases, "o_orderkey").select("phase", "o_orderkey")
 
 
-@query("SELECT o_orderpriority, count(*) AS n, greatest(count(*) - 20, 0) AS more FROM orders GROUP BY ALL")
+@query("""
+    WITH a AS (SELECT o_orderpriority, o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS place, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders)
+    SELECT o_orderpriority, o_orderkey, place, greatest(n - 20, 0) AS more FROM a WHERE place <= 20
+""")
 def capped_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups with at most 20 examples shown and how many more there are."""
-    counts = table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("n"))
-    return counts.withColumn("more", F.greatest(F.col("n") - 20, F.lit(0)))
+    """The first 20 examples of each group and how many more there are; counts are aggregated, only a top-k is ordered."""
+    orders = table(spark, sf_dir, "orders")
+    first = orders.select("o_orderpriority", "o_orderkey", F.row_number().over(Window.partitionBy("o_orderpriority").orderBy("o_orderkey")).cast("long").alias("place")).where("place <= 20")
+    counts = orders.groupBy("o_orderpriority").agg(F.greatest(F.count("*") - 20, F.lit(0)).alias("more"))
+    return first.join(counts, "o_orderpriority")
 
 
 @query("""
@@ -268,6 +272,37 @@ def join_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.agg(F.count("*").alias("pairs"), F.count("quality").alias("labelled"), F.countDistinct("source").alias("sources"))
 
 
-@query("SELECT n_nationkey, coalesce(nullif(n_name, ''), 'unknown') AS name, 'belirtilmemiş' AS missing FROM nation")
+@query("""
+    SELECT d.doc_id, coalesce(d.lang, 'unknown') AS lang, coalesce(CASE WHEN l.quality = 1 THEN 'good' WHEN l.quality = 0 THEN 'bad' END, 'belirtilmemiş') AS quality
+    FROM documents d LEFT JOIN labels l USING (doc_id)
+""")
 def defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "nation").select("n_nationkey", measures.or_unknown(F.col("n_name")).alias("name"), F.coalesce(F.lit(None).cast("string"), F.lit("belirtilmemiş")).alias("missing"))
+    """A default for what a left join does not find."""
+    joined = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    quality = F.when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "bad")
+    return joined.select("doc_id", measures.or_unknown(F.col("lang")).alias("lang"), F.coalesce(quality, F.lit("belirtilmemiş")).alias("quality"))
+
+
+@query("""
+    SELECT o_orderkey AS id, 'web' AS channel, 'claim' AS content_type, o_orderpriority AS urgency, o_orderstatus AS status, 'done' AS message_status,
+           'P-' || o_custkey AS policy_no, CASE WHEN o_orderkey % 4 = 0 THEN o_orderdate::DATE END AS incident_date,
+           CASE WHEN o_orderkey % 2 = 0 THEN 'Ankara' END AS city, CASE o_orderkey % 5 WHEN 0 THEN TRUE WHEN 1 THEN FALSE END AS injury,
+           CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice END AS estimated_amount
+    FROM orders
+""")
+def claims_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flat view over claims whose JSON holds good and bad dates, numbers and booleans: what does not fit is null."""
+    n = F.col("o_orderkey")
+    date = F.when(n % 4 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).when(n % 4 == 1, "31.12.2024").when(n % 4 == 2, "2024-13-41")
+    injury = F.when(n % 5 == 0, "True").when(n % 5 == 1, "false").when(n % 5 == 2, "belki").when(n % 5 == 3, "")
+    amount = F.when(n % 3 == 0, F.col("o_totalprice").cast("decimal(18,2)").cast("string")).when(n % 3 == 1, "çok")
+    place = F.struct(F.when(n % 2 == 0, "Ankara").alias("city"))
+    fields = F.struct(F.concat(F.lit("P-"), "o_custkey").alias("policy_no"), date.alias("incident_date"), place.alias("incident_location"), injury.alias("injury"), amount.alias("estimated_amount"))
+    orders = table(spark, sf_dir, "orders")
+    at = F.col("o_orderdate")
+    claims = orders.select(
+        n.alias("id"), n.alias("raw_message_id"), F.lit("web").alias("channel"), F.lit("claim").alias("content_type"), F.col("o_orderpriority").alias("urgency"), F.col("o_orderstatus").alias("status"), at.alias("created_at"), at.alias("updated_at"), F.to_json(F.struct(fields.alias("extraction"))).alias("data")
+    )
+    messages = orders.select(n.alias("id"), F.lit("done").alias("status"), at.alias("received_at"))
+    flat = views.claims_flat(claims, messages)
+    return flat.select("id", "channel", "content_type", "urgency", "status", "message_status", "policy_no", "incident_date", "city", "injury", F.col("estimated_amount").cast("double").alias("estimated_amount"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,10 +12,13 @@ from pyspark.sql.streaming import StreamingQuery
 from claimloom.functions.masking import mask_all, unmask_struct
 from claimloom.functions.signals import signals
 from claimloom.functions.text import locate_quote
-from claimloom.operators.rules import approval, classify, filled_names, validation_flags
+from claimloom.operators.retrieval import Encoder, embed
+from claimloom.operators.rules import approval, classify, filled_names, sanity_flags, validation_flags
 
 MESSAGE = "id long, channel string, raw_text string, external_ref string, received_at timestamp"
 CLASSIFICATION = "struct<content_type:string,urgency:string,injury_mentioned:boolean>"
+SANITY_FLAGS = "array<struct<rule:string,kind:string,span:struct<start:int,end:int>>>"
+SANITY = "struct<leak_found:boolean,flags:array<struct<kind:string,start:int,end:int>>>"
 EXTRACTION = (
     "struct<policy_no:string,plate:string,incident_date:string,incident_location:struct<city:string,district:string>,damage_description:string,"
     "damage_type:string,injury:boolean,counterparty_exists:boolean,estimated_amount:double,quotes:map<string,string>>"
@@ -27,6 +31,7 @@ class Answers:
 
     classification: DataFrame
     extraction: DataFrame
+    sanity: DataFrame | None = None  # verdicts on masked texts; without this table the check is not run
 
 
 def answered(df: DataFrame, answers: DataFrame, kind: str, name: str) -> DataFrame:
@@ -53,11 +58,17 @@ def triage(messages: DataFrame, answers: Answers, names: DataFrame, auto_approve
     status and, for a message without text, error.
 
     Steps fail on their own: without a classification the rules stand in, without an extraction a claim goes to
-    review. A message that is no claim is not extracted. Messages with an error have status dead_letter.
+    review, a sanity check without a verdict counts as a leak; flags of the check never hold text. A message that is no
+    claim is not extracted. Messages with an error, of their own or of a step that failed on them, have status dead_letter.
     """
     masked = messages.join(mask_all(messages.select("id", "raw_text"), "id", "raw_text", names), "id")
     read = answered(answered(masked, answers.classification, CLASSIFICATION, "model"), answers.extraction, EXTRACTION, "found")
-    read = read.withColumn("signals", signals(F.col("masked_text")))
+    leak, sanity = F.lit(False), F.array().cast(SANITY_FLAGS)
+    if answers.sanity is not None:
+        read = answered(read, answers.sanity, SANITY, "verdict")
+        leak, sanity = F.coalesce(F.col("verdict.leak_found"), F.lit(True)), sanity_flags(F.col("verdict"), F.col("masked_text"))
+    read = read.withColumns({"leak": leak, "sanity": sanity, "terms": signals(F.col("masked_text"))})
+    read = read.withColumn("signals", F.coalesce("terms", F.array().cast("array<string>")))
     read = read.withColumn("class", classify(F.col("model.content_type"), F.col("model.urgency"), F.col("model.injury_mentioned"), F.col("signals")))
     is_claim = F.col("class.content_type") == "claim"
     read = read.withColumn("found", F.when(is_claim, F.col("found"))).withColumn("evidence", F.when(F.col("found").isNotNull(), evidence(F.col("found"), F.col("masked_text"))))
@@ -65,11 +76,11 @@ def triage(messages: DataFrame, answers: Answers, names: DataFrame, auto_approve
     read = read.withColumn("unverified", unverified).withColumn("extraction", unmask_struct(read, "found", F.col("mappings")))
     flags = validation_flags(F.col("extraction"), F.col("class.urgency"), F.col("class.content_type"), F.col("signals"), as_of)
     read = read.withColumn("flags", F.when(F.col("extraction").isNotNull(), flags).otherwise(F.array().cast("array<struct<field:string,rule:string,message:string>>")))
-    decision = approval(F.col("class.content_type"), F.col("class.urgency"), F.col("flags"), F.col("unverified"), F.lit(False), F.col("extraction").isNotNull(), auto_approve)
-    error = F.when(F.coalesce(F.trim("raw_text"), F.lit("")) == "", "empty message")
+    decision = approval(F.col("class.content_type"), F.col("class.urgency"), F.col("flags"), F.col("unverified"), F.col("leak"), F.col("extraction").isNotNull(), auto_approve)
+    error = F.when(F.coalesce(F.trim("raw_text"), F.lit("")) == "", "empty message").when(F.col("terms").isNull(), "signals failed")
     read = read.withColumn("decision", decision).withColumn("error", error)
     status = F.when(F.col("error").isNotNull(), "dead_letter").when(F.col("decision.approved"), "approved").otherwise("in_human_review")
-    return read.select("id", "channel", "received_at", "masked_text", "mappings", "signals", "class.*", "extraction", "evidence", "unverified", "flags", "decision", status.alias("status"), "error")
+    return read.select("id", "channel", "received_at", "masked_text", "mappings", "signals", "class.*", "extraction", "evidence", "unverified", "flags", "sanity", "decision", status.alias("status"), "error")
 
 
 def filled_fields(extraction: Column) -> Column:
@@ -81,6 +92,7 @@ def audit_rows(triaged: DataFrame, at: Column) -> DataFrame:
     """One row a step that a message went through: raw_message_id, step, detail (JSON), created_at."""
     steps = [
         ("masking", F.to_json(F.struct(F.size("mappings").alias("masked"))), F.lit(True)),
+        ("masking_sanity", F.to_json(F.struct("sanity")), F.size("sanity") > 0),
         ("classification", F.to_json(F.struct("content_type", "urgency", "urgency_source", "signals")), F.lit(True)),
         ("extraction", F.to_json(F.struct("unverified")), F.col("extraction").isNotNull()),
         ("validation", F.to_json(F.struct("flags")), F.col("extraction").isNotNull()),
@@ -91,9 +103,9 @@ def audit_rows(triaged: DataFrame, at: Column) -> DataFrame:
     return triaged.select(F.col("id").alias("raw_message_id"), F.inline(rows), at.alias("created_at"))
 
 
-def start(spark: SparkSession, source: str, target: str, answers: Answers, names: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
-    """Triage the messages that arrive as JSON files in `source` into target/claims, /mappings, /audit and
-    /dead_letter. A batch that is run again overwrites what it wrote, so that every message counts once."""
+def start(spark: SparkSession, source: str, target: str, answers: Answers, names: DataFrame, checkpoint: str, encoder: Callable[[], Encoder] | None = None, dim: int = 384, **trigger) -> StreamingQuery:
+    """Triage the messages that arrive as JSON files in `source` into target/claims, /mappings, /audit,
+    /dead_letter and, with an encoder, /vectors of the masked texts of claims (those on which it fails have none). A batch that is run again overwrites what it wrote, so that every message counts once."""
     arriving = spark.readStream.schema(MESSAGE).json(source)
 
     def batch(messages: DataFrame, number: int) -> None:
@@ -104,6 +116,9 @@ def start(spark: SparkSession, source: str, target: str, answers: Answers, names
             "audit": audit_rows(done, F.current_timestamp()),
             "dead_letter": done.where("error is not null").select("id", "channel", "received_at", "error"),
         }
+        if encoder:
+            vectors = done.where("error is null and content_type = 'claim'").select(F.col("id").alias("claim_id"), embed(F.col("masked_text"), encoder, dim=dim, isolate=True).alias("embedding"))
+            parts["vectors"] = vectors.where("embedding is not null")
         for name, part in parts.items():
             part.write.mode("overwrite").parquet(f"{target}/{name}/batch={number}")
         done.unpersist()

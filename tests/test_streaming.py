@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import dataclasses
 import datetime
 import json
 
@@ -7,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from claimloom.functions.masking import STARTER_NAMES
+from claimloom.functions.signals import SignalRules, signals
 from claimloom.streaming import triage, windows
 
 MESSAGES = [
@@ -75,3 +77,48 @@ def test_replay(spark, tmp_path):
     q = windows.replay(spark, str(tmp_path / "t"), "id long").writeStream.foreachBatch(lambda df, n: got.append(df.count())).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sum(got) == 10 and len(got) == 5
+
+
+def test_sanity_and_vectors(spark, world, tmp_path):
+    """Verdicts are recorded without text, a missing one counts as a leak; claims get vectors, but for a text on which the
+    encoder fails."""
+    messages, answers, names = world
+    verdicts = [("A", {"leak_found": True, "flags": [{"kind": "name", "start": 0, "end": 8}, {"kind": "plate", "start": 5, "end": 900}]}), ("B", {"leak_found": False, "flags": []})]
+    sanity = spark.createDataFrame([(k, json.dumps(v)) for k, v in verdicts], "external_ref string, payload string")
+    answers = dataclasses.replace(answers, sanity=sanity)
+    rows = {r["id"]: r for r in triage.triage(messages, answers, names).collect()}
+    assert [(f["kind"], f["span"] and tuple(f["span"])) for f in rows[1]["sanity"]] == [("name", (0, 8)), ("plate", None)]
+    assert rows[2]["sanity"] == [] and [f["kind"] for f in rows[4]["sanity"]] == ["other"]
+    messages.coalesce(1).write.json(str(tmp_path / "in"))
+
+    def encoder():
+        def encode(texts):
+            if any("Cam" in t for t in texts):
+                raise RuntimeError("no")
+            return [[float(len(t)), 1.0] for t in texts]
+
+        return encode
+
+    triage.start(spark, str(tmp_path / "in"), str(tmp_path / "out"), answers, names, str(tmp_path / "c"), encoder, 2).awaitTermination()
+    read = lambda name: spark.read.parquet(f"{tmp_path}/out/{name}")
+    assert [r["claim_id"] for r in read("vectors").collect()] == [1]
+    assert sorted(r["id"] for r in read("claims").collect()) == [1, 2, 4]
+    assert sorted(r["raw_message_id"] for r in read("audit").where("step = 'masking_sanity'").collect()) == [1, 3, 4]
+
+
+def test_a_failing_step_stops_one_message(spark, world, tmp_path, monkeypatch):
+    messages, answers, names = world
+
+    class Fails(SignalRules):
+        def find(self, text):
+            if "Kampanya" in text:
+                raise ValueError("no")
+            return super().find(text)
+
+    everywhere = Fails(terms=(*SignalRules().terms, "kampanya"))
+    monkeypatch.setattr(triage, "signals", lambda text: signals(text, everywhere))
+    messages.coalesce(1).write.json(str(tmp_path / "in"))
+    triage.start(spark, str(tmp_path / "in"), str(tmp_path / "out"), answers, names, str(tmp_path / "c")).awaitTermination()
+    read = lambda name: spark.read.parquet(f"{tmp_path}/out/{name}")
+    assert sorted(r["id"] for r in read("claims").collect()) == [1, 4]
+    assert {r["id"]: r["error"] for r in read("dead_letter").collect()} == {2: "signals failed", 3: "empty message"}
