@@ -192,3 +192,31 @@ def sanity_measure(df: DataFrame, leaking: Column, flagged: Column, expected_kin
 def kind_counts(df: DataFrame, kinds: Column) -> DataFrame:
     """Records of each kind that was flagged, once a record."""
     return df.select(F.explode(F.array_distinct(kinds)).alias("kind")).groupBy("kind").agg(F.count("*").alias("records"))
+
+
+def gate_wrong_ids(decided: DataFrame, decision: Column, correct: Column, id_col: str) -> DataFrame:
+    """Ids of what the gate approved although it is wrong; a record whose correctness is unknown is not right."""
+    return decided.where(decision["approved"] & ~F.coalesce(correct, F.lit(False))).select(id_col).orderBy(id_col)
+
+
+#: The critical records of the original's corpus and how many of them its phrases caught.
+CORPUS_CRITICAL = (38, 38)
+
+
+def critical_recall(cases: DataFrame, injury: Column, critical: Column, signalled: Column, split: str) -> DataFrame:
+    """label, numerator, denominator and value (null over nothing): the headline `all`, one row a split, what the rules
+    alone catch, false alarms among controls, and the fixed row of the corpus. Cases are counted once, by a rollup."""
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    hurt = yes(injury)
+    sums = cases.rollup(split).agg(
+        F.count_if(hurt).alias("positives"), F.count_if(hurt & yes(critical)).alias("caught"), F.count_if(hurt & yes(signalled)).alias("by_rules"),
+        F.count_if(~hurt).alias("controls"), F.count_if(~hurt & yes(critical)).alias("false_alarms"), F.grouping(split).alias("whole"),
+    )
+    row = lambda label, n, d: F.struct(label.alias("label"), n.cast("long").alias("numerator"), d.cast("long").alias("denominator"))
+    whole = F.array(
+        row(F.lit("all"), F.col("caught"), F.col("positives")), row(F.lit("rules_alone"), F.col("by_rules"), F.col("positives")),
+        row(F.lit("false_alarms"), F.col("false_alarms"), F.col("controls")), row(F.lit("corpus"), *map(F.lit, CORPUS_CRITICAL)),
+    )
+    part = F.when(F.col("positives") > 0, F.array(row(F.coalesce(F.col(split).cast("string"), F.lit("unknown")), F.col("caught"), F.col("positives"))))
+    rows = sums.select(F.inline(F.when(F.col("whole") == 1, whole).otherwise(part)))
+    return rows.withColumn("value", F.try_divide(F.col("numerator").cast("double"), F.col("denominator")))

@@ -172,11 +172,19 @@ def category_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted(spark, sf_dir).groupBy(F.col("source").alias("category")).agg(F.count("*").alias("n"), F.round(ratio(right, F.count("*")), 6).alias("accuracy"))
 
 
-@query()
+@query(f"""
+    WITH RECURSIVE {RECORDS_SQL}, d AS (SELECT toxic <> 1 AND len(list_filter(rules, lambda x: x <> 'not_english')) = 0 AS approved, quality = 1 AS correct FROM records),
+    s AS (SELECT count(*) AS records, count(*) FILTER (WHERE approved) AS approved, count(*) FILTER (WHERE approved AND correct) AS correct_approved FROM d),
+    b AS (SELECT 0 AS step, approved AS n, correct_approved AS k, 0.0::DOUBLE AS low, (correct_approved / approved)::DOUBLE AS high FROM s UNION ALL
+          SELECT step + 1, n, k, CASE WHEN above THEN low ELSE mid END, CASE WHEN above THEN mid ELSE high END FROM (SELECT *, (low + high) / 2 AS mid,
+          list_sum(list_transform(range(k, n + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln((low + high) / 2) + (n - i) * ln(1 - (low + high) / 2)))) > 0.05 AS above FROM b WHERE step < 50))
+    SELECT records, approved, correct_approved, round(approved / records, 6) AS coverage, round(correct_approved / approved, 6) AS precision, round(CASE WHEN k = n THEN pow(0.05, 1 / n) ELSE low END, 6) AS lower_bound FROM s, b WHERE step = 50
+""")
 def precision_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The gate's precision with the lower bound of its confidence interval."""
     found = measures.gate_measure(records(spark, sf_dir).withColumn("d", decision()), F.col("d"), F.col("quality") == 1)
-    return found.withColumn("lower_bound", measures.lower_bound(F.col("correct_approved"), F.col("approved")))
+    bound = measures.lower_bound(F.col("correct_approved"), F.col("approved"))
+    return found.withColumn("lower_bound", bound).withColumns({c: F.round(c, 6) for c in ("coverage", "precision", "lower_bound")})
 
 
 @query(CLASS_SQL + """,

@@ -26,7 +26,14 @@ def masked_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", of("EMAIL").alias("emails"), of("IP").alias("ips"))
 
 
-@query()
+@query(r"""
+    WITH f AS (SELECT doc_id, text, regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+') AS e, regexp_extract_all(text, '\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b') AS i, regexp_extract_all(text, '\b\d{9,16}\b') AS d FROM documents),
+    o AS (SELECT doc_id, text, list_filter(e, lambda x, k: list_position(e, x) = k) AS e, list_filter(i, lambda x, k: list_position(i, x) = k AND NOT list_contains(e, x)) AS i,
+          list_filter(d, lambda x, k: list_position(d, x) = k AND NOT list_contains(e, x) AND NOT list_contains(i, x)) AS d FROM f),
+    m AS (SELECT doc_id, text, list_concat(list_transform(e, lambda x, k: x || chr(1) || '[EMAIL_' || k || ']'), list_concat(list_transform(i, lambda x, k: x || chr(1) || '[IP_' || k || ']'), list_transform(d, lambda x, k: x || chr(1) || '[DIGITS_' || k || ']'))) AS pairs FROM o)
+    SELECT doc_id, sha256(list_reduce(list_prepend(text, pairs), lambda acc, p: replace(acc, string_split(p, chr(1))[1], string_split(p, chr(1))[2]))) AS sha256, len(pairs)::INT AS values, true AS restored FROM m WHERE text IS NOT NULL
+    UNION ALL SELECT doc_id, NULL, 0, true FROM documents WHERE text IS NULL
+""")
 def masked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents masked by patterns, and whether unmasking gives the text back."""
     rows = masking.with_pattern_masks(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "text", masking.GENERAL_PATTERNS)
@@ -63,12 +70,27 @@ def split_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(parts).cast("long").alias("sentences"), F.get(parts, F.lit(0)).alias("first"))
 
 
-@query()
+SIGNAL_WORDS = ("pathetic", "worthless", "idiot")
+#: The pieces around each whole-word start of a term, from the folded text: what stands before, and all that follows.
+SIGNAL_SQL = " UNION ALL ".join(
+    f"""SELECT doc_id, {k} AS place, '{w}' AS term, folded[greatest(1, p - 30):p - 1] AS before, folded[p + {len(w)}:p + {len(w) + 29}] AS after, folded[p + {len(w)}:] AS rest, folded[greatest(1, p - 1):p - 1] AS edge
+        FROM (SELECT doc_id, folded, unnest(list_transform(range(1, len(string_split(folded, '{w}'))), lambda j: length(array_to_string(string_split(folded, '{w}')[1:j], '{w}')) + 1)) AS p FROM f WHERE contains(folded, '{w}'))"""
+    for k, w in enumerate(SIGNAL_WORDS)
+)
+
+
+@query(rf"""
+    WITH f AS (SELECT doc_id, lower(translate(text, 'çÇğĞıIİöÖşŞüÜ', 'ccggiiioossuu')) AS folded FROM documents), o AS ({SIGNAL_SQL}),
+    kept AS (SELECT DISTINCT doc_id, place, term FROM o WHERE NOT regexp_matches(edge, '[0-9a-z]') AND NOT regexp_matches(before, 'not|never') AND NOT regexp_matches(after, 'not|never')
+             AND NOT regexp_matches(rest, '^\s*:\s*(
+|$)') AND NOT regexp_matches(after, '^(\s*(var\s*mi|var\s*miydi|oldu\s*mu)|\s+(mi|mu))'))
+    SELECT doc_id, string_agg(term, ',' ORDER BY place) AS terms FROM kept GROUP BY doc_id
+""")
 def asserted_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that assert one of a few terms, without a negation near them."""
-    rules = SignalRules(terms=("pathetic", "worthless", "idiot"), context_terms=frozenset(), never_folded=frozenset(), negation="not|never", negating_suffix=r"\bnever", inflection="", care_action="")
+    rules = SignalRules(terms=SIGNAL_WORDS, context_terms=frozenset(), never_folded=frozenset(), negation="not|never", negating_suffix=r"\bnever", inflection="", care_action="")
     found = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", signals(F.col("text"), rules).alias("terms"))
-    return found.where(F.size("terms") > 0)
+    return found.where(F.size("terms") > 0).select("doc_id", F.array_join("terms", ",").alias("terms"))
 
 
 @query("""
@@ -87,7 +109,7 @@ def neighbour_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
     SELECT l_orderkey, l_linenumber, CASE WHEN l_discount > 0.05 THEN '%' || replace(printf('%.1f', round(l_discount * 100, 1)), '.', ',') END AS discount
-    FROM lineitem WHERE l_orderkey % 100 < 100
+    FROM lineitem
 """)
 def percent_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = F.when(F.col("l_discount") > 0.05, text.percent_text(F.col("l_discount")))
