@@ -31,6 +31,8 @@ NAME_MARKERS = ("sayin", "ad soyad", "adi soyadi", "imza", "saygilarimla")
 #: Words before an ambiguous name in which a marker is looked for.
 LOOKBACK = 4
 EDGES = ".,!?;:\"'()"
+#: Dictionaries of up to so many names are met inside each row, without moving texts; longer ones by a join.
+NAMES_IN_ROW = 1000
 
 MAPPINGS = "array<struct<placeholder:string,real_value:string,pii_type:string>>"
 
@@ -95,16 +97,24 @@ def mask_names(df: DataFrame, id_col: str, text_col: str, names: DataFrame, star
 
     Words are compared without edge punctuation, folded to ASCII. A name that is a common word counts only beside a
     surname or within LOOKBACK words after a marker. Each occurrence gets a number of its own, after `start`;
-    white space collapses to single blanks. Ids must be distinct. Words are exploded and met with the dictionary by
-    a join, so that neither has to fit anywhere; only the names found are gathered by text.
+    white space collapses to single blanks. Ids must be distinct. A short dictionary is intersected with each text's
+    words; with a long one words are exploded and joined, so that neither has to fit anywhere, and only the names found
+    are gathered by text.
     """
     first = F.lit(0) if start is None else start
     listed = names.select(fold_ascii(F.col(names.columns[0])).alias("folded")).where("folded != ''").distinct()
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), first.alias("start"), words(F.col(text_col)).alias("words"))
-    bare = F.btrim("word", F.lit(EDGES))
-    tokens = texts.select("id", F.posexplode("words").alias("pos", "word")).select("id", "pos", "word", bare.alias("bare"), fold_ascii(bare).alias("folded"))
-    found = tokens.join(listed, "folded").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "word", "bare", "folded"))).alias("found"))
-    joined = texts.join(found, "id", "left")
+    few = [r[0] for r in listed.limit(NAMES_IN_ROW + 1).collect()]
+    if len(few) <= NAMES_IN_ROW:
+        word = lambda w, k: F.struct(k.alias("pos"), w.alias("word"), F.btrim(w, F.lit(EDGES)).alias("bare"), fold_ascii(F.btrim(w, F.lit(EDGES))).alias("folded"))
+        each = texts.withColumn("each", F.transform("words", word))
+        known = each.withColumn("known", F.array_intersect("each.folded", F.array(*map(F.lit, sorted(few))).cast("array<string>")))
+        joined = known.withColumn("found", F.filter("each", lambda x: F.array_contains("known", x["folded"]))).drop("each", "known")
+    else:
+        bare = F.btrim("word", F.lit(EDGES))
+        tokens = texts.select("id", F.posexplode("words").alias("pos", "word")).select("id", "pos", "word", bare.alias("bare"), fold_ascii(bare).alias("folded"))
+        found = tokens.join(listed, "folded").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "word", "bare", "folded"))).alias("found"))
+        joined = texts.join(found, "id", "left")
 
     def surname(pos: Column) -> Column:
         near = lambda k: fold_ascii(F.btrim(F.get("words", k), F.lit(EDGES))).isin(SURNAMES)

@@ -26,19 +26,47 @@ def daily_trend(df: DataFrame, at: str, until: Column, days: int = 7) -> DataFra
     return recent.groupBy(F.to_date(at).alias("day")).agg(F.count("*").alias("n")).orderBy("day")
 
 
-def nearest_rank(values: DataFrame, column: str, share: float = 0.95) -> DataFrame:
-    """n, p95 as the value at place int(n * share) from 0 but at most n - 1, and the upper median. Spark merges
-    counts of distinct values, so that no task orders all rows."""
-    known = values.where(F.col(column).isNotNull())
+#: Up to so many values one task may put in order.
+IN_ONE_TASK = 1_000_000
+
+
+def value_at(values: DataFrame, column: str, place: int, n: int, most: int = IN_ONE_TASK) -> float:
+    """The value at a place, from 0, of n values without nulls in order. While more than `most` values are in question,
+    counts under and up to approximate cuts narrow them to those between two cuts, so that no task orders them all."""
+    at, inside = F.col(column), values
+    while n > most:
+        cuts = sorted(set(inside.approxQuantile(column, [k / 40 for k in range(41)], 0.005)))
+        row = inside.agg(*[F.count_if(at < c) for c in cuts], *[F.count_if(at <= c) for c in cuts]).first()
+        under, up_to = row[: len(cuts)], row[len(cuts) :]
+        k = next(k for k, upper in enumerate(up_to) if upper > place)
+        if under[k] <= place:
+            return float(cuts[k])
+        passed = up_to[k - 1] if k else 0
+        inside = inside.where((at > cuts[k - 1]) & (at < cuts[k])) if k else inside.where(at < cuts[k])
+        place, n = place - passed, under[k] - passed
+    return inside.agg(F.expr(f"percentile_disc({(place + 0.5) / n!r}D) within group (order by {column})").cast("double")).first()[0]
+
+
+def nearest_rank(values: DataFrame, column: str, share: float = 0.95, most: int = IN_ONE_TASK) -> DataFrame:
+    """n, p95 as the value at place int(n * share) from 0 but at most n - 1, and the upper median; 0 and nulls without values."""
+    known = values.select(column).where(F.col(column).isNotNull())
     n = known.count()
-    place = lambda k: F.expr(f"percentile_disc({(k + 0.5) / max(n, 1)!r}D) within group (order by {column})").cast("double")
-    return known.agg(F.count("*").alias("n"), place(min(n - 1, int(n * share)) if n else 0).alias("p95"), place(n // 2 if n > 1 else 0).alias("median"))
-
-
-def entity_percentile(df: DataFrame, entity: str, value: str, share: float = 0.95) -> DataFrame:
-    """Continuous percentile of each entity's sum."""
-    sums = df.groupBy(entity).agg(F.sum(value).alias("total"))
-    return sums.agg(F.expr(f"percentile_cont({share}) within group (order by total)").alias("percentile"), F.avg("total").alias("mean"), F.count("*").alias("entities"))
+    found = lambda k: value_at(known, column, k, n, most) if n else None
+    row = (n, found(min(n - 1, int(n * share))), found(n // 2 if n > 1 else 0))
+    return values.sparkSession.createDataFrame([row], "n long, p95 double, median double")
+
+
+def entity_percentile(df: DataFrame, entity: str, value: str, share: float = 0.95, most: int = IN_ONE_TASK) -> DataFrame:
+    """Continuous percentile of each entity's sum, between the two places that it falls in; entities without a value count
+    as entities only."""
+    sums = df.groupBy(entity).agg(F.sum(value).cast("double").alias("total"))
+    shown = sums.agg(F.avg("total").alias("mean"), F.count("*").alias("entities"))
+    known = sums.select("total").where("total is not null")
+    if (n := known.count()) <= most:
+        return sums.agg(F.expr(f"percentile_cont({share}) within group (order by total)").alias("percentile"), F.avg("total").alias("mean"), F.count("*").alias("entities"))
+    low = int(share * (n - 1))
+    a, b = value_at(known, "total", low, n, most), value_at(known, "total", min(low + 1, n - 1), n, most)
+    return shown.select(F.lit(a + (b - a) * (share * (n - 1) - low)).alias("percentile"), "mean", "entities")
 
 
 def wait_times(decisions: DataFrame, routed: DataFrame, key: str, at: str, last: int = 100) -> DataFrame:

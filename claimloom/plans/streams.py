@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,13 +29,13 @@ def hourly_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def streamed_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same over a stream of files, in complete mode."""
     events = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    name = f"rates_{uuid.uuid4().hex}"
-    running = _hourly(events).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/rates-{uuid.uuid4()}"
+    running = windows.keep_whole(_hourly(events), folder).trigger(availableNow=True).start()
     try:
         running.awaitTermination()
     finally:
         running.stop()
-    return spark.table(name)
+    return spark.read.parquet(f"{folder}/result")
 
 
 @query("""

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -58,6 +60,38 @@ def read_run(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
     return spark.read.parquet(f"{path}/records"), json.loads(spark.read.text(f"{path}/meta").first()[0])
 
 
+def write_run_json(records: DataFrame, path: str, meta: dict) -> None:
+    """A run of evaluation as one JSON document {"meta": ..., "records": [...]}, which read_run_json reads. Such a document
+    is one text and is written by one task: for results, not for corpora, which write_run keeps."""
+    lines = records.select(F.to_json(F.struct(*records.columns), {"ignoreNullFields": "false"}).alias("line"))
+    body = lines.agg(F.array_join(F.array_sort(F.collect_list("line")), ",").alias("body"))
+    head = json.dumps({"meta": meta}, sort_keys=True, ensure_ascii=False)[:-1] + ', "records": ['
+    body.select(F.concat(F.lit(head), "body", F.lit("]}")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+@functools.lru_cache(maxsize=16)
+def read_report(spark: SparkSession, path: str) -> str | None:
+    """A report as JSON text, read once a session and path; None where it is missing or no JSON object."""
+    try:
+        row = spark.read.text(path, wholetext=True).first()
+        return row[0] if row and isinstance(json.loads(row[0]), dict) else None
+    except (AnalysisException, ValueError):
+        return None
+
+
+def load_first(messages: DataFrame, order: str, n: int, folder: str, files: int = 1) -> DataFrame:
+    """The first n messages in an order, written where a stream of files reads them: the seed of a demonstration."""
+    first = messages.orderBy(order).limit(n)
+    first.repartition(files).write.mode("append").parquet(folder)
+    return first
+
+
+def unfinished(seeded: DataFrame, claims: DataFrame, key: str, final: tuple[str, ...]) -> DataFrame:
+    """Seeded messages that have no claim yet or one whose status is not final: none once a stream has caught up."""
+    done = claims.where(F.col("status").isin(*final)).select(key).distinct()
+    return seeded.select(key).join(done, key, "left_anti")
+
+
 def read_run_json(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, dict]:
     """A run as one JSON document: a bare list of records, or an object with meta and records."""
     text = spark.read.text(path, wholetext=True)

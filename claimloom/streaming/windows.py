@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.readwriter import DataStreamWriter
 
 
 def _timed(events: DataFrame, at: str, late: str) -> DataFrame:
@@ -54,3 +55,13 @@ def gauges(claims: DataFrame, audit: DataFrame) -> DataFrame:
 def replay(spark: SparkSession, folder: str, schema: str, files_per_batch: int = 1) -> DataFrame:
     """A stream that gives a few of the folder's Parquet files a batch, in place of a message queue."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+
+
+def keep_whole(df: DataFrame, folder: str) -> DataStreamWriter:
+    """A writer that keeps the whole result of a streamed aggregation as Parquet in `folder`/result, replaced by each batch,
+    and its progress beside it; nothing of it goes through the driver."""
+
+    def write(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/result")
+
+    return df.writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/progress").foreachBatch(write)

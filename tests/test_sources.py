@@ -96,3 +96,28 @@ def test_generator(spark):
     for r in one:
         if r["expected"].plate:
             assert r["expected"].plate in texts[r["gt_id"]]["text"] and "None" not in texts[r["gt_id"]]["text"]
+
+
+def test_run_as_one_document(spark, tmp_path):
+    path = str(tmp_path / "run")
+    files.write_run_json(spark.createDataFrame([(1, "şık"), (2, None)], "id int, text string"), path, {"model": "x", "at": "gün"})
+    rows, meta = files.read_run_json(spark, path, "id int, text string")
+    assert sorted(map(tuple, rows.collect())) == [(1, "şık"), (2, None)] and meta == {"model": "x", "at": "gün"}
+    files.write_run_json(spark.createDataFrame([], "id int"), path, {})
+    assert files.read_run_json(spark, path, "id int")[0].count() == 0
+
+
+def test_report(spark, tmp_path):
+    good, bad = tmp_path / "good.json", tmp_path / "bad.json"
+    good.write_text('{"metrics": []}')
+    bad.write_text("[1")
+    assert files.read_report(spark, str(good)) == '{"metrics": []}'
+    assert files.read_report(spark, str(bad)) is None and files.read_report(spark, str(tmp_path / "none")) is None
+
+
+def test_seed(spark, tmp_path):
+    messages = spark.range(10).selectExpr("id", "10 - id AS place")
+    seeded = files.load_first(messages, "place", 3, str(tmp_path / "in"))
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "in")).collect()) == [7, 8, 9]
+    claims = spark.createDataFrame([(7, "approved"), (8, "received")], "id long, status string")
+    assert sorted(r.id for r in files.unfinished(seeded, claims, "id", ("approved", "archived")).collect()) == [8, 9]
