@@ -97,8 +97,8 @@ def mask_names(df: DataFrame, id_col: str, text_col: str, names: DataFrame, star
 
     Words are compared without edge punctuation, folded to ASCII. A name that is a common word counts only beside a
     surname or within LOOKBACK words after a marker. Each occurrence gets a number of its own, after `start`;
-    white space collapses to single blanks. Ids must be distinct. A short dictionary is intersected with each text's
-    words; with a long one words are exploded and joined, so that neither has to fit anywhere, and only the names found
+    white space collapses to single blanks. Ids must be distinct. A short dictionary is looked up in each row;
+    with a long one words are exploded and joined, so that neither has to fit anywhere, and only the names found
     are gathered by text.
     """
     first = F.lit(0) if start is None else start
@@ -107,9 +107,7 @@ def mask_names(df: DataFrame, id_col: str, text_col: str, names: DataFrame, star
     few = [r[0] for r in listed.limit(NAMES_IN_ROW + 1).collect()]
     if len(few) <= NAMES_IN_ROW:
         word = lambda w, k: F.struct(k.alias("pos"), w.alias("word"), F.btrim(w, F.lit(EDGES)).alias("bare"), fold_ascii(F.btrim(w, F.lit(EDGES))).alias("folded"))
-        each = texts.withColumn("each", F.transform("words", word))
-        known = each.withColumn("known", F.array_intersect("each.folded", F.array(*map(F.lit, sorted(few))).cast("array<string>")))
-        joined = known.withColumn("found", F.filter("each", lambda x: F.array_contains("known", x["folded"]))).drop("each", "known")
+        joined = texts.withColumn("found", F.filter(F.transform("words", word), lambda x: x["folded"].isin(few)))
     else:
         bare = F.btrim("word", F.lit(EDGES))
         tokens = texts.select("id", F.posexplode("words").alias("pos", "word")).select("id", "pos", "word", bare.alias("bare"), fold_ascii(bare).alias("folded"))
