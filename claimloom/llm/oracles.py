@@ -28,4 +28,35 @@ ORACLES = {
                CASE WHEN page_id <> first_id THEN first_id END AS refers_to
         FROM hashed h LEFT JOIN firsts f ON h.payload_digest = f.payload_digest
     """,
+    "op11_spelling_variants": r"""
+        WITH RECURSIVE runs AS (
+            SELECT coalesce(doc_id::VARCHAR, '') || ':' || w AS keyed, w, count(*) AS n
+            FROM (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents)
+            WHERE length(w) >= 7 GROUP BY ALL),
+        crcs AS (
+            SELECT list(list_reduce([i] || range(8), lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS crc
+            FROM (SELECT unnest(range(256)) AS i)),
+        bytes AS (
+            SELECT w, n, flatten(list_transform(string_split(keyed, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [195, unicode(c)::BIGINT - 64] END)) AS b FROM runs),
+        hashed AS (
+            SELECT w, n, xor(4294967295, list_reduce([4294967295] || b, lambda h, x: xor(h >> 8, crc[1 + (xor(h, x) & 255)]))) AS h FROM bytes, crcs),
+        written AS (
+            SELECT CASE WHEN h % 31 = 0 THEN left(w, (h % length(w))::INT) || substr(w, (h % length(w) + 2)::INT) ELSE w END AS word, n FROM hashed),
+        words AS (SELECT word, sum(n)::BIGINT AS n FROM written WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+        gaps AS (
+            SELECT word, n, k, left(word, (k - 1)::INT) || substr(word, (k + 1)::INT) AS gap FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS k FROM words)),
+        links AS (
+            SELECT a.word, b.word AS other, b.n AS m FROM gaps a JOIN gaps b ON a.gap = b.gap AND a.k = b.k AND a.word <> b.word
+            UNION SELECT g.word, w.word, w.n FROM gaps g JOIN words w ON g.gap = w.word
+            UNION SELECT w.word, g.word, g.n FROM gaps g JOIN words w ON g.gap = w.word),
+        best AS (SELECT word, count(*) AS n_near, first(other ORDER BY m DESC, other) AS other, max(m) AS m FROM links GROUP BY word),
+        found AS (
+            SELECT w.word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN m >= 10 * n THEN other END AS form, CASE WHEN m >= 10 * n THEN m END AS form_n
+            FROM words w LEFT JOIN best USING (word)),
+        steps AS (
+            SELECT word, word AS here, 0 AS step FROM found
+            UNION ALL SELECT s.word, f.form, step + 1 FROM steps s JOIN found f ON s.here = f.word WHERE f.form IS NOT NULL)
+        SELECT f.word, form, arg_max(here, step) AS root, n, n_near, form_n
+        FROM found f JOIN steps USING (word) GROUP BY ALL
+    """,
 }

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import decontamination, html_text, language_id, line_dedup, mixing, paragraphs, prefix_forest, quality, simhash, warc
+from claimloom.llm import decontamination, html_text, language_id, line_dedup, mixing, paragraphs, prefix_forest, quality, simhash, spelling, warc
 from claimloom.llm.runtime import checkpoint_dir, fold_bucket, modest_batches
 from claimloom.llm.runtime import table as read_table
 
@@ -81,6 +81,10 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -94,5 +98,6 @@ QUERIES = {
         op8_warc_revisits,
         op9_language_id,
         op10_source_mixing,
+        op11_spelling_variants,
     )
 }
