@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,6 +18,7 @@ NAME = re.compile(r"(/?)([a-z][a-z0-9:-]*)", re.IGNORECASE)
 PLAIN = re.compile(r"[^>\"']*")
 ATTRIBUTE = re.compile(r"""([a-z_:][-\w:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
 NUMBERS = re.compile(r"\d+")
+LONG_REFERENCE = re.compile(r"&#(?:([xX])([0-9a-fA-F]{8,})|([0-9]{8,}));?")
 
 #: HTML elements by role. What is in RAW is no text of the page.
 RAW = frozenset("script style textarea title noscript iframe template svg select noframes xmp".split())
@@ -45,9 +47,11 @@ WEAK = 0.25
 
 
 class Node:
-    __slots__ = ("children", "holder", "named", "noisy", "parent", "path", "tag", "weak")
+    __slots__ = ("children", "depth", "holder", "named", "noisy", "parent", "path", "scope", "tag", "weak")
 
     def __init__(self, tag: str, parent: Node | None, path: int, noisy: bool, named: bool = False) -> None:
+        self.depth: int = parent.depth + 1 if parent else 0
+        self.scope: int = self.depth if tag in SCOPES else parent.scope if parent else 0  # depth of the nearest of SCOPES
         self.tag, self.parent, self.path, self.noisy, self.named, self.weak, self.children = tag, parent, path, noisy, named, False, []
         self.holder: Node | None = self if tag in CONTAINERS else parent and parent.holder  # the nearest container
 
@@ -163,24 +167,35 @@ def settle(root: Node) -> None:
             x.weak = x.weak or not x.noisy
 
 
+def decoded(text: str) -> str:
+    """The text with its character references decoded; a number beyond Unicode, however long, is U+FFFD."""
+
+    def shorter(m: re.Match) -> str:
+        digits = (m[2] or m[3]).lstrip("0") or "0"
+        return f"&#{m[1] or ''}{digits};" if len(digits) <= 7 else "\ufffd"
+
+    return html.unescape(LONG_REFERENCE.sub(shorter, text)) if "&" in text else text
+
+
 def parse(page: str | None, by_name: bool = True) -> tuple[Node, Paths]:
     """The page's tree and its paths. Scripts and comments are left out, a new paragraph closes an open one, ends without a
     start are ignored, and what a cut page leaves open stays open. Paths generalise numbers and have no element ids. If not
-    by_name, classes, ids and roles make no node noise."""
+    by_name, classes, ids and roles make no node noise. A header is the page's unless an article or main is open. Open
+    nodes are kept by tag, so that no tag costs a walk."""
     root = at = Node("", None, 0, False)
     page, paths = page or "", Paths()
     last, any_named = 0, False
-    opened: Counter = Counter()
+    opened: defaultdict[str, list[Node]] = defaultdict(list)
 
     def add(text: str) -> None:
         if text:
-            at.children.append(html.unescape(text) if "&" in text else text)
+            at.children.append(decoded(text))
 
     def leave(node: Node) -> Node:
         """Close what is open up to the node, and it too."""
         x = at
         while x is not node.parent:
-            opened[x.tag] -= 1
+            opened[x.tag].pop()
             x = x.parent
         return x
 
@@ -190,27 +205,17 @@ def parse(page: str | None, by_name: bool = True) -> tuple[Node, Paths]:
         if not tag:
             continue
         if slash:
-            node = at if opened[tag] else root
-            while node is not root and node.tag != tag:
-                if node.tag in SCOPES and tag in INLINE:
-                    node = root
-                    break
-                node = node.parent
-            if node is not root:
+            node = opened[tag][-1] if opened[tag] else None
+            if node and not (tag in INLINE and at.scope > node.depth):
                 at = leave(node)
             elif tag == "p":
                 at.children.append(Node("p", at, paths.number(at.path, "p"), False))
             continue
         over = (*SIBLINGS.get(tag, ()), *(("p",) if tag in CLOSES_P else ()))
-        if any(opened[x] for x in over):
-            node, outermost = at, None
-            while node is not root and node.tag not in SCOPES:
-                if node.tag in over:
-                    outermost = node
-                node = node.parent
-            at = leave(outermost) if outermost else at
+        inside = [opened[x][k] for x in over if (k := bisect.bisect_right(opened[x], at.scope, key=lambda n: n.depth)) < len(opened[x])]
+        at = leave(min(inside, key=lambda n: n.depth)) if inside else at
         found = attributes(rest) if rest and not rest.isspace() else {}
-        noisy = tag in BOILERPLATE or "hidden" in found or "display:none" in found.get("style", "").replace(" ", "")
+        noisy = tag in BOILERPLATE and not (tag == "header" and (opened["article"] or opened["main"])) or "hidden" in found or "display:none" in found.get("style", "").replace(" ", "")
         named = by_name and tag not in UNNAMED and any(noise_named(found[k]) for k in ("class", "id", "role") if k in found)
         step = ".".join([tag, *sorted({NUMBERS.sub("#", c) for c in found.get("class", "").lower().replace(">", "").split()})])
         node = Node(tag, at, paths.number(at.path, step), noisy, named)
@@ -218,7 +223,7 @@ def parse(page: str | None, by_name: bool = True) -> tuple[Node, Paths]:
         at.children.append(node)
         if tag not in VOID and not rest.endswith("/"):
             at = node
-            opened[tag] += 1
+            opened[tag].append(node)
     add(page[last:])
     if any_named:
         settle(root)

@@ -52,16 +52,18 @@ def script_table() -> np.ndarray:
 def letters_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For the letters of all texts, in order: trigram bucket, script, whether a word begins, text number.
 
-    A word is a run of letters; trigrams see its ends as one boundary sign.
+    A word is a run of letters; trigrams see its ends as one boundary sign. Texts are told apart by their lengths, for they
+    may hold any character.
     """
-    joined = "\0".join(["", *(t.lower() for t in texts), ""])
+    low = [t.lower() for t in texts]
+    joined = "\0".join(["", *low, ""])
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     script = script_table()[codes]
     sign = np.where(script > 0, codes, np.uint32(32))
     at = np.flatnonzero(script)
     h = sign[at - 1] * np.uint32(0x9E3779B1) ^ sign[at] * np.uint32(0x85EBCA77) ^ sign[at + 1] * np.uint32(0xC2B2AE3D)
     h = (h ^ h >> np.uint32(15)) * np.uint32(0x2C1B3C6D)
-    number = np.cumsum(codes == 0)[at] - 1
+    number = np.searchsorted(np.cumsum([len(t) + 1 for t in low]), at - 1, side="right")
     return (h >> np.uint32(16)).astype(np.int32), script[at], script[at - 1] == 0, number
 
 

@@ -171,7 +171,7 @@ def _fill(now: DataFrame, turn: int) -> DataFrame:
     edge = buckets.groupBy("key").agg(F.max(F.struct("bucket", "before")).alias("edge"))
     placed = now.join(F.broadcast(edge.select("key", F.col("edge.bucket").alias("last"), F.col("edge.before").alias("before"))), "key", "left")
     at_edge = fits & (F.col("bucket") == F.col("last"))
-    within = Window.partitionBy("key").orderBy("turn", "id").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("key").orderBy("turn", "id", "size", "row").rowsBetween(Window.unboundedPreceding, 0)
     whole = placed.where(~F.coalesce(at_edge, F.lit(False))).withColumn("more", F.when(fits & (F.col("bucket") < F.col("last")), 1).otherwise(F.col("more")))
     partly = placed.where(at_edge).withColumn("more", (F.col("before") + F.sum("size").over(within) <= F.col("left")).cast("int"))
     return cut_slim(whole.unionByName(partly).drop("left", "turn", "bucket", "last", "before"))
@@ -184,18 +184,18 @@ def _last_changes(now: DataFrame) -> DataFrame:
     Of the documents of a size, only the first in order can matter, so a key is ordered by its different sizes."""
     state = now.groupBy("key").agg((F.max("rest") - F.sum(F.col("size") * F.col("more"))).alias("left")).where("left > 0")
     state = cut_slim(state)
-    firsts = now.where("size > 0").groupBy("key", "more", "size").agg(F.min(F.struct("order", "id")).alias("first"))
-    near = cut_slim(firsts.join(F.broadcast(state), "key").select("key", "more", "size", "left", "first.order", "first.id"))
+    firsts = now.where("size > 0").groupBy("key", "more", "size").agg(F.min(F.struct("order", "row")).alias("first"))
+    near = cut_slim(firsts.join(F.broadcast(state), "key").select("key", "more", "size", "left", "first.order", "first.row"))
     off = F.abs(F.col("size") - F.col("left"))
-    added = near.where("more = 0").where(off < F.col("left")).select("key", F.struct(off.alias("off"), "order", F.col("id").alias("into"), F.lit(None).cast("long").alias("out")).alias("change"))
+    added = near.where("more = 0").where(off < F.col("left")).select("key", F.struct(off.alias("off"), "order", F.lit(None).cast("long").alias("out_order"), F.col("row").alias("into"), F.lit(None).cast("long").alias("out")).alias("change"))
     near = near.withColumn("place", F.col("size") + F.col("left") * F.col("more"))
     by_size = Window.partitionBy("key").orderBy("place", "more").rowsBetween(Window.unboundedPreceding, -1)
     down = Window.partitionBy("key").orderBy(F.desc("place"), F.desc("more")).rowsBetween(Window.unboundedPreceding, -1)
-    free = F.when(F.col("more") == 0, F.struct("id", "size", "order"))
+    free = F.when(F.col("more") == 0, F.struct("row", "size", "order"))
     below, above = (F.last(free, ignorenulls=True).over(w) for w in (by_size, down))
-    swaps = near.withColumn("free", F.array(below, above)).where("more = 1").select("key", "left", "size", "id", F.explode("free").alias("f")).where("f is not null")
+    swaps = near.withColumn("free", F.array(below, above)).where("more = 1").select("key", "left", "size", "order", "row", F.explode("free").alias("f")).where("f is not null")
     off = F.abs(F.col("f.size") - F.col("size") - F.col("left"))
-    swaps = swaps.where(off < F.col("left")).select("key", F.struct(off.alias("off"), F.col("f.order").alias("order"), F.col("f.id").alias("into"), F.col("id").alias("out")).alias("change"))
+    swaps = swaps.where(off < F.col("left")).select("key", F.struct(off.alias("off"), F.col("f.order").alias("order"), F.col("order").alias("out_order"), F.col("f.row").alias("into"), F.col("row").alias("out")).alias("change"))
     best = added.unionByName(swaps).groupBy("key").agg(F.min("change").alias("change"))
     return cut_slim(best.select("key", "change.into", "change.out"))
 
@@ -216,13 +216,15 @@ def mix(
     array counts as the null source). A source's size is that of all its documents. Patterns of membership are summed in Spark, the flow
     runs on those sums, and every pattern's documents are then taken as often as its flow needs: whole rounds, and
     one more time for documents in a seeded order until the rest is filled, at last by adding or exchanging the document that
-    comes nearest to it. Documents are taken whole. Ties in the order fall to the id; repeated rows are documents of their
-    own; size null counts 0. An empty table gives no rows.
+    comes nearest to it. Documents are taken whole. Each row is a document of its own, known by a number and not by its id,
+    which may be null or repeated; rows of one id and size are alike, so that reruns agree. Size null counts 0. An empty
+    table gives no rows.
     """
     members = F.when(F.size(sources) > 0, F.array_sort(F.array_distinct(sources))).otherwise(F.array(F.lit(None).cast("string")))
     key = F.array_join(F.transform(members, lambda s: F.coalesce(F.concat(F.char_length(s).cast("string"), F.lit(":"), s), F.lit("-"))), "")
-    order = F.xxhash64(F.lit(seed), F.col(id_col))
-    sized = cut(docs.select(F.col(id_col).alias("id"), F.coalesce(size, F.lit(0)).cast("long").alias("size"), members.alias("sources"), key.alias("key"), order.alias("order")))
+    unnamed = F.xxhash64(F.lit(seed), F.coalesce(size, F.lit(0)).cast("long"), F.lit("unnamed"))
+    order = F.when(F.col(id_col).isNull(), unnamed).otherwise(F.xxhash64(F.lit(seed), F.col(id_col)))
+    sized = cut(docs.select(F.col(id_col).alias("id"), F.coalesce(size, F.lit(0)).cast("long").alias("size"), members.alias("sources"), key.alias("key"), order.alias("order"), F.monotonically_increasing_id().alias("row")))
     sums = sized.groupBy("key").agg(F.first("sources").alias("sources"), F.sum("size").alias("size")).limit(MAX_PATTERNS + 1).collect()
     if len(sums) > MAX_PATTERNS:
         raise ValueError(f"over {MAX_PATTERNS} membership patterns")
@@ -244,7 +246,7 @@ def mix(
         now = _fill(now, k)
     changes = _last_changes(now)
     full = now.join(F.broadcast(changes), "key", "left")
-    into, out = F.col("id").eqNullSafe(F.col("into")), F.col("id").eqNullSafe(F.col("out"))
+    into, out = F.col("row") == F.col("into"), F.col("row") == F.col("out")
     more = F.when((F.col("more") == 0) & into, 1).when((F.col("more") == 1) & out, 0).otherwise(F.col("more"))
     rows = full.select(F.col("id").alias(id_col), "size", "sources", (F.col("size") * (F.col("rounds") + more)).alias("taken"))
     return rows, {s: (sizes[s], targets[s]) for s in sizes}, {m: dict(r) for m, r in routes.items()}

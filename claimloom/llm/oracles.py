@@ -59,4 +59,30 @@ ORACLES = {
         SELECT f.word, form, arg_max(here, step) AS root, n, n_near, form_n
         FROM found f JOIN steps USING (word) GROUP BY ALL
     """,
+    "op13_source_divergence": r"""
+        WITH docs AS (SELECT coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS doc FROM documents),
+        cells AS (
+            SELECT lang, source, doc, term, count(*) AS n
+            FROM (SELECT lang, source, doc, translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM docs)
+            GROUP BY ALL),
+        kept AS (SELECT lang, term, sum(n)::HUGEINT AS n FROM cells GROUP BY ALL HAVING count(*) >= 3),
+        sizes AS (SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS n FROM kept GROUP BY ALL),
+        groups AS (SELECT DISTINCT lang, source FROM docs),
+        counts AS (SELECT c.lang, source, term, sum(c.n)::HUGEINT AS n FROM cells c SEMI JOIN kept k ON c.lang = k.lang AND c.term = k.term GROUP BY ALL),
+        totals AS (SELECT g.lang, g.source, coalesce(sum(c.n), 0)::HUGEINT AS n FROM groups g LEFT JOIN counts c ON g.lang = c.lang AND g.source = c.source GROUP BY ALL),
+        shares AS (
+            SELECT t.lang, t.source, k.term, coalesce(c.n, 0) AS n,
+                   (1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 1) // (t.n + s.v))::BIGINT AS p, (1 + 1000000000::HUGEINT * (k.n + 1) // (s.n + s.v))::BIGINT AS q
+            FROM totals t JOIN sizes s ON t.lang = s.lang JOIN kept k ON k.lang = t.lang LEFT JOIN counts c ON c.lang = t.lang AND c.source = t.source AND c.term = k.term),
+        pairs AS (
+            SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+            FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        found AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(p.value, 0)::BIGINT AS value
+            FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+            LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+            UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM shares WHERE n > 0 AND p > q)
+        SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank
+        FROM found QUALIFY part = 'pair' OR rank <= 200
+    """,
 }

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import decontamination, html_text, language_id, line_dedup, mixing, paragraphs, prefix_forest, quality, simhash, spelling, warc
+from claimloom.llm import decontamination, divergence, html_text, language_id, line_dedup, mixing, paragraphs, prefix_forest, quality, simhash, spelling, url_filter, warc
 from claimloom.llm.runtime import checkpoint_dir, fold_bucket, modest_batches
 from claimloom.llm.runtime import table as read_table
 
@@ -85,6 +85,14 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -99,5 +107,7 @@ QUERIES = {
         op9_language_id,
         op10_source_mixing,
         op11_spelling_variants,
+        op12_url_filter,
+        op13_source_divergence,
     )
 }

@@ -104,6 +104,9 @@ def test_nothing_left():
         ("<!-- " * 150_000, ""),
         ("<script>" * 100_000 + "</script", ""),
         ("<article>" + "<center>word " * 100_000, None),
+        ("<b><div>" + "<i>" * 100_000 + "</b>" * 100_000 + "x", "x"),
+        ("<ul><li><ol>" + "<i>" * 60_000 + "<li>x" * 60_000, "\n".join(["x"] * 60_000)),
+        ("&#" + "9" * 1_000_000 + ";&#x" + "f" * 100_000 + " &#" + "0" * 5000 + "65;", "\ufffd\ufffd A"),
     ],
 )
 def test_hostile_pages_take_a_second(page, text):
@@ -134,3 +137,8 @@ def test_hosts_without_article_vote(spark):
             rows.append((len(rows), f"https://h{host}.example/{k}", f"<body>{side}<div class='c{host} text'><p>{'story text of the page ' * 4}{k}</p></div></body>"))
     found = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert all(r["text"] == f"{'story text of the page ' * 4}{r['url'][-1]}" for r in found) and len(found) == 18
+
+
+def test_header_of_an_article_is_text():
+    page = f"<body><header>Site</header><article><header><h1>Head</h1><nav>menu</nav></header>{STORY}<footer>end</footer></article></body>"
+    assert html_text.extract_text(page, None) == f"Head\n{TOLD}"

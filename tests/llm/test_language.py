@@ -104,3 +104,17 @@ def test_query_against_plain_viterbi(spark, sf):
     found = queries.op9_language_id(spark, sf).collect()
     wrong = [r["doc_id"] for r in found if r["lang_pred"] != slow(texts[r["doc_id"]])]
     assert len(found) == len(texts) and len(wrong) <= len(texts) // 200  # float32 sums may turn a tie
+
+
+def test_nul_characters_stay_in_their_text(spark, model):
+    """U+0000 at both ends and inside a text, in training and prediction, moves no letter to another text."""
+    texts = ["\0", "\0\0" + ENGLISH, FRENCH[:40] + "\0" + FRENCH[40:] + "\0", "", RUSSIAN, "\0x\0", ENGLISH]
+    alone = [language_id.label_texts([t], model)[0] for t in texts]
+    assert language_id.label_texts(texts, model) == alone
+    assert [x[0] for x in alone[:5]] == ["und", "en", "fr", "und", "ru"]
+    number = language_id.letters_of(texts)[3]
+    assert [int((number == k).sum()) for k in range(len(texts))] == [sum(c.isalpha() for c in t.lower()) for t in texts]
+    rows = [(k, f"\0{t}\0" * 3 if k % 2 else t * 3, lang) for k, (t, lang) in enumerate([(ENGLISH, "en"), (FRENCH, "fr"), (RUSSIAN, "ru")] * 4)]
+    plain = [(k, t.replace("\0", " "), lang) for k, t, lang in rows]
+    with_nul, without = (language_id.train(spark.createDataFrame(x, "doc_id long, text string, lang string")) for x in (rows, plain))
+    assert (with_nul.scores == without.scores).all() and (with_nul.allowed == without.allowed).all()

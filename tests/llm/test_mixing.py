@@ -127,3 +127,33 @@ def test_edges(spark):
     got = mix(docs).toPandas()
     assert len(got) == 5 and (got["taken"] <= 3 * got["size"]).all()
     assert mix(docs.where("false")).count() == 0
+
+
+def unnamed_rows(seed):
+    draw = random.Random(seed)
+    rows = [(None if draw.random() < 0.3 else draw.randrange(20), draw.randint(1, 12), draw.choice("abc")) for _ in range(200)]
+    return [*rows, (None, 4, "tiny"), (None, 7, "b"), (None, 7, "b")]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_null_and_repeated_ids_meet_their_targets(spark, seed):
+    """Each row is a document: the last exchange moves one row, not all rows of its id."""
+    docs = spark.createDataFrame(unnamed_rows(seed), "doc_id long, n long, source string")
+    mix = lambda df: mixing.mix(df, "doc_id", F.col("n"), F.array("source"))
+    out, sources, _ = mix(docs)
+    got = out.toPandas()
+    assert len(got) == 203 and (got["taken"] <= 3 * got["size"]).all()
+    taken = got.groupby(got["sources"].str[0])["taken"].sum()
+    for s, (_, target) in sources.items():
+        assert abs(taken[s] - target) <= min(n for _, n, x in unnamed_rows(seed) if x == s)
+    key = ["doc_id", "size", "taken"]
+    again = mix(docs.repartition(7, "n"))[0].toPandas()
+    assert sorted(map(repr, got[key].itertuples(index=False, name=None))) == sorted(map(repr, again[key].itertuples(index=False, name=None)))
+
+
+def test_query_ends_within_a_document_of_its_targets(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = queries.op10_source_mixing(spark, sf).toPandas()
+    names = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source").toPandas()
+    for _, own in rows.merge(names, on="doc_id").groupby("source", dropna=False):
+        assert abs(own["taken"].sum() - own["target"].iloc[0]) <= 2 + own.loc[own["size"] > 0, "size"].min()
