@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from claimloom.functions.text import three_valued
 from claimloom.functions.vectors import similarity_score
-from claimloom.operators import joins, measures, ranking, rules, views
+from claimloom.operators import joins, measures, ranking, retrieval, rules, views
+from claimloom.operators.numbering import numbered
 from claimloom.operators.views import json_decimal, json_text
 from claimloom.plans.guard import guarded_sql
 from claimloom.plans.registry import query, table
@@ -147,13 +148,19 @@ def grouped_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT row_number() OVER (ORDER BY md5(o_orderkey::VARCHAR), o_orderkey) AS position, o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 50 = 0")
 def pinned_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of a pinned list of ids, in the list's order; the list is small."""
-
+    """The rows of a pinned list of ids, in the list's order, which is numbered by ranges."""
     orders = table(spark, sf_dir, "orders")
-    ids = orders.where("o_orderkey % 50 = 0").select("o_orderkey", F.row_number().over(Window.orderBy(F.md5(F.col("o_orderkey").cast("string")), "o_orderkey")).alias("position"))
+    ids = orders.where("o_orderkey % 50 = 0").select("o_orderkey", F.md5(F.col("o_orderkey").cast("string")).alias("by"))
+    ids = numbered(ids, "by", "o_orderkey").drop("by")
     return joins.in_order_of(orders, "o_orderkey", ids).select("position", "o_orderkey", "o_totalprice")
 
 
+@query("SELECT row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS place, o_orderkey, o_custkey FROM orders")
+def numbered_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders with their place by price, without one task that sees them all."""
+    return numbered(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), F.desc("o_totalprice"), "o_orderkey", name="place").drop("o_totalprice")
+
+
 @query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1")
 def upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last row of each key, as an upsert by key leaves it."""
@@ -173,6 +180,18 @@ def vector_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.nearest(vectors.where("label < 5"), asked, "embedding", "vec_id", 10).select("vec_id", "score")
 
 
+@query("""
+    WITH q AS (SELECT vec_id AS question, label, embedding AS qe FROM embeddings WHERE vec_id < 50),
+    s AS (SELECT question, e.vec_id, list_cosine_similarity(embedding::DOUBLE[], qe::DOUBLE[]) AS score FROM embeddings e, q)
+    SELECT question, k::INT AS rank, vec_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY score DESC, vec_id) AS k FROM s) WHERE k <= 10
+""")
+def nearest_to_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of each of fifty questions."""
+    vectors = table(spark, sf_dir, "embeddings")
+    questions = vectors.where("vec_id < 50").select(F.col("vec_id").alias("question"), "embedding")
+    return retrieval.search_many(vectors, questions, "vec_id", "embedding", "question", 10, block=20).withColumn("score", F.round("score", 6))
+
+
 @query("""
     WITH q AS (SELECT embedding AS qe FROM embeddings WHERE vec_id = 0)
     SELECT label, vec_id FROM (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY list_inner_product(embedding::DOUBLE[], qe::DOUBLE[]) DESC, vec_id) AS k FROM embeddings, q) WHERE k = 1

@@ -6,7 +6,7 @@ import functools
 import json
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -18,19 +18,30 @@ class Malformed(ValueError):
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType | str, strict: bool = True) -> DataFrame:
-    """JSON lines with a schema, blank lines left out. strict: a malformed line raises Malformed with the line."""
+    """JSON lines with a schema, blank lines left out. strict: a malformed line raises Malformed with its file, number and beginning."""
     if isinstance(schema, str):
         schema = StructType.fromDDL(schema)
-    lines = spark.read.text(path).where(F.trim("value") != "")
     known = F.from_json("value", StructType([*schema.fields]).add("_corrupt", "string"), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
-    rows = lines.select("value", known.alias("r"))
-    if strict:
-        bad = rows.where("r._corrupt is not null or r is null").select("value", F.input_file_name()).limit(1).collect()
-        if bad:
-            raise Malformed(f"{bad[0][1]}: {bad[0][0][:80]}")
+    if strict and (bad := first_line(spark, path, (F.trim("value") != "") & (known["_corrupt"].isNotNull() | known.isNull()))):
+        raise Malformed("{}, line {}: {}".format(bad[0], bad[1], bad[2][:80]))
+    rows = spark.read.text(path).where(F.trim("value") != "").select(known.alias("r"))
     return rows.select("r.*").drop("_corrupt")
 
 
+def first_line(spark: SparkSession, path: str, wanted: Column) -> tuple[str, int, str] | None:
+    """(file, number from 1, line) of the first line of the first file that `wanted`, on a column value, holds for; None if there is none.
+
+    One pass over all files: each split, however many a file has, counts its lines and says where its first wanted line stands; the
+    counts of the splits before it give the number. Nothing but a row a split is shuffled."""
+    place = F.struct(F.monotonically_increasing_id().alias("row"), "value")
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("begin"), place.alias("place"))
+    splits = lines.groupBy("file", "begin").agg(F.count("*").alias("n"), F.min("place.row").alias("first"), F.min(F.when(wanted, F.col("place"))).alias("found"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("begin")) - F.col("n")
+    found = splits.withColumn("before", before).where("found IS NOT NULL").orderBy("file", "begin").limit(1)
+    row = found.select("file", (F.col("before") + F.col("found.row") - F.col("first") + 1).alias("number"), "found.value").first()
+    return tuple(row) if row else None
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores if it has fewer partitions than those: for long work on each row of a small file."""
     cores = df.sparkSession.sparkContext.defaultParallelism
@@ -38,12 +49,9 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def line_number(spark: SparkSession, path: str, line: str) -> int | None:
-    """The number, from 1, of the first line with that text in a small file."""
-    for name, content in spark.sparkContext.wholeTextFiles(path).collect():
-        numbers = [k for k, x in enumerate(content.split("\n"), 1) if x == line]
-        if numbers:
-            return numbers[0]
-    return None
+    """The number, from 1, of the first line with that text."""
+    found = first_line(spark, path, F.col("value") == line)
+    return found[1] if found else None
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.readwriter import DataStreamWriter
 
+from claimloom.operators import quantiles as exact
+
 
 def _timed(events: DataFrame, at: str, late: str) -> DataFrame:
     """events with `at` as a timestamp and, on a stream, a watermark."""
@@ -22,9 +24,14 @@ def rates(events: DataFrame, at: str, key: str, width: str = "5 minutes", slide:
 
 
 def quantiles(events: DataFrame, at: str, value: str, width: str = "5 minutes", shares: tuple[float, ...] = (0.5, 0.95), late: str = "10 minutes") -> DataFrame:
-    """Approximate quantiles of a value in each window, as columns p50, p95, ..."""
-    found = _timed(events, at, late).groupBy(F.window(at, width).alias("w"))
-    return found.agg(*[F.percentile_approx(value, s, 10_000).alias(f"p{s * 100:g}") for s in shares]).select(F.col("w.start").alias("begins"), *[f"p{s * 100:g}" for s in shares])
+    """Quantiles of a value in each window, as columns p50, p95, ...: exact ones of a table. A stream passes each event once, so that those of a window with
+    over 10,000 different values are approximate there; summaries of quantiles.summary() that a batch keeps give exact ones later."""
+    names = {f"p{s * 100:g}": s for s in shares}
+    if events.isStreaming:
+        found = _timed(events, at, late).groupBy(F.window(at, width).alias("w"))
+        return found.agg(*[F.percentile_approx(value, s, 10_000).alias(n) for n, s in names.items()]).select(F.col("w.start").alias("begins"), *names)
+    begun = _timed(events, at, late).select(F.window(at, width)["start"].alias("begins"), value)
+    return exact.quantiles(begun, ["begins"], value, {n: exact.disc(s) for n, s in names.items()})
 
 
 def bucket_quantile(buckets: DataFrame, key: str, bound: str, count: str, share: float = 0.95) -> DataFrame:
