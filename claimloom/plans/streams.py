@@ -142,19 +142,20 @@ def streamed_waits(spark: SparkSession, sf_dir: str) -> DataFrame:
     for stream in lots(spark, sf_dir, folder):
         advance(stream)
     events = table(spark, sf_dir, "events")
-    end = events.agg(F.max("ts").alias("ts")).select((F.col("ts") + F.expr("INTERVAL 2 DAYS")).alias("ts"), F.explode(F.array(F.lit("view"), F.lit("purchase"))).alias("event_type"))
+    kinds = F.explode(F.map_from_arrays(F.array(F.lit("view"), F.lit("purchase")), F.array(F.lit(-1).cast("long"), F.lit(-2).cast("long"))))
+    end = events.agg(F.max("ts").alias("ts")).select((F.col("ts") + F.expr("INTERVAL 2 DAYS")).alias("ts"), kinds.alias("event_type", "user_id"))
     columns = [F.col(c) if c in end.columns else F.lit(None).cast(events.schema[c].dataType).alias(c) for c in events.columns]
     end.select(*columns).write.mode("append").parquet(f"{folder}/in")
     advance(stream)
-    return spark.read.parquet(f"{folder}/result").select("user_id", "routed_event", "decided_event", F.round("wait_s", 6).alias("wait_s"))
+    return spark.read.parquet(f"{folder}/result").where("routed_event IS NOT NULL").select("user_id", "routed_event", "decided_event", F.round("wait_s", 6).alias("wait_s"))
 
 
-@query(f"""
+@query("""
     WITH waits AS (
-        SELECT d.event_id AS decided_event, d.ts, epoch_us(d.ts) - epoch_us(max(r.ts)) AS wait
+        SELECT d.event_id, d.ts, min(epoch_us(d.ts) - epoch_us(r.ts)) AS wait
         FROM events d JOIN events r ON r.event_type = 'view' AND d.event_type = 'purchase' AND r.user_id = d.user_id AND d.ts >= r.ts AND d.ts <= r.ts + INTERVAL 12 HOURS
-        GROUP BY ALL)
-    SELECT ts::DATE AS day, count(*) AS decisions, round(avg(wait / 1e6), 3) AS mean_wait_s FROM waits GROUP BY day
+        GROUP BY d.event_id, d.ts)
+    SELECT ts::DATE AS day, count(*) AS decisions, round(avg(wait / 1e6), 3) AS mean_wait_s FROM waits GROUP BY ALL
 """)
 def daily_waits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean seconds from the last routing to each decision, by day."""
