@@ -171,6 +171,14 @@ def recall_split(df: DataFrame, expected: Column, found: Column, *keys: str) ->
     return sums.withColumn("recall", ratio(F.col("found"), F.col("positives")))
 
 
+def accuracy_split(df: DataFrame, correct: Column, split: str, kind: str) -> DataFrame:
+    """Hits, rows and accuracy by split and kind, by split, by kind and over all (a cube); `all` stands for every split or kind."""
+    named = df.select(F.coalesce(F.col(split).cast("string"), F.lit("")).alias("split"), F.coalesce(F.col(kind).cast("string"), F.lit("")).alias("kind"), correct.alias("correct"))
+    label = lambda c: F.when(F.grouping(c) == 1, "all").otherwise(F.col(c)).alias(f"_{c}")
+    sums = named.cube("split", "kind").agg(label("split"), label("kind"), F.count_if("correct").alias("hits"), F.count("*").alias("n"))
+    return sums.select(F.col("_split").alias("split"), F.col("_kind").alias("kind"), "hits", "n", ratio(F.col("hits"), F.col("n")).alias("accuracy"))
+
+
 def masking_recall(df: DataFrame, raw: str, masked: str, kinds: dict[str, str]) -> DataFrame:
     """Of each kind's known values that the raw text holds: how many the masked text no longer holds, with the
     total as kind all."""

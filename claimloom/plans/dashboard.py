@@ -22,7 +22,7 @@ RANK_SQL = "CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 WHE
 def triage_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts by status and by urgency, and the trend of the last week."""
     orders, events = table(spark, sf_dir, "orders"), table(spark, sf_dir, "events")
-    last = F.lit(events.agg(F.max("ts")).first()[0])
+    last = events.agg(F.max("ts")).scalar()
     trend = measures.daily_trend(events, "ts", last).select(F.lit("day").alias("section"), F.date_format("day", "yyyy-MM-dd").alias("name"), "n")
     both = [measures.counts_by(orders, F.col(c).alias("name")).select(F.lit(s).alias("section"), "name", "n") for s, c in (("status", "o_orderstatus"), ("priority", "o_orderpriority"))]
     return both[0].unionByName(both[1]).unionByName(trend)
@@ -42,7 +42,7 @@ def json_key_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT ts::DATE AS day, count(*) AS n FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY GROUP BY ALL")
 def daily_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
-    return measures.daily_trend(events, "ts", F.lit(events.agg(F.max("ts")).first()[0]))
+    return measures.daily_trend(events, "ts", events.agg(F.max("ts")).scalar())
 
 
 @query("SELECT max(ts) AS last_update, count(*) AS total FROM events")
@@ -155,4 +155,4 @@ def daily_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     from claimloom.streaming.windows import cost
 
     events = table(spark, sf_dir, "events")
-    return cost(events, "ts", "value", 0.15, F.lit(events.agg(F.max("ts")).first()[0])).select(F.round("cost", 6).alias("cost"))
+    return cost(events, "ts", "value", 0.15, events.agg(F.max("ts")).scalar()).select(F.round("cost", 6).alias("cost"))

@@ -166,6 +166,18 @@ def recall_by_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("recall", F.round("recall", 6))
 
 
+@query(PREDICTED_SQL + """
+    SELECT CASE WHEN grouping(half) = 1 THEN 'all' ELSE half END AS split, CASE WHEN grouping(lang) = 1 THEN 'all' ELSE lang END AS kind, count(*) FILTER (WHERE quality = predicted) AS hits, count(*) AS n,
+           round(count(*) FILTER (WHERE quality = predicted) / count(*), 6) AS accuracy
+    FROM (SELECT *, CASE WHEN doc_id % 2 = 0 THEN 'tune' ELSE 'test' END AS half FROM p) GROUP BY CUBE (half, lang)
+""")
+def split_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often a prediction is right, by split, by kind, by both and over all."""
+    rows = predicted(spark, sf_dir).withColumn("half", F.when(F.col("doc_id") % 2 == 0, "tune").otherwise("test"))
+    found = measures.accuracy_split(rows, F.col("quality") == F.col("predicted"), "half", "lang")
+    return found.withColumn("accuracy", F.round("accuracy", 6))
+
+
 @query(PREDICTED_SQL + " SELECT source AS category, count(*) AS n, round(avg(CASE WHEN quality = predicted THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM p GROUP BY source")
 def category_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     right = F.count_if(F.col("quality") == F.col("predicted"))

@@ -26,4 +26,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from claimloom.plans import dashboard, evaluation, relational, rulings, streams, texts  # noqa: E402, F401
+from claimloom.plans import dashboard, evaluation, records, relational, rulings, streams, texts  # noqa: E402, F401

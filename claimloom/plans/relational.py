@@ -60,7 +60,7 @@ def case_blind_like(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_id, user_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 3 DAY AND event_type IN ('error', 'signup')")
 def recent_of_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
-    last = F.lit(events.agg(F.max("ts")).first()[0])
+    last = events.agg(F.max("ts")).scalar()
     return events.where((F.col("ts") >= last - F.expr("INTERVAL 3 DAYS")) & F.col("event_type").isin("error", "signup")).select("event_id", "user_id")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from claimloom.operators import quantiles
 from claimloom.plans.registry import query, table
 from claimloom.sources.shared import scratch
-from claimloom.streaming import gauges, keyed, waits, windows
+from claimloom.streaming import gauges, keyed, metrics, queue, waits, windows
 
 HOURLY_SQL = """
     SELECT time_bucket(INTERVAL 1 HOUR, ts) AS begins, event_type, count(*) AS n, round(count(*) / 3600.0, 9) AS per_second FROM events GROUP BY ALL
@@ -179,3 +179,40 @@ def streamed_gauges(spark: SparkSession, sf_dir: str) -> DataFrame:
             after = counts.read().withColumn("lot", F.lit(lot))
             found = after if found is None else found.unionByName(after)
     return found
+
+
+VALUE_BOUNDS = (10.0, 25.0, 50.0, 100.0, 250.0)
+
+
+@query("""
+    SELECT le, count(*) FILTER (WHERE value <= le) AS n, count(*) FILTER (WHERE event_type = 'error') AS errors, round(sum(value), 4) AS total
+    FROM events, (SELECT unnest([10.0, 25.0, 50.0, 100.0, 250.0, 1e300])::DOUBLE AS le) GROUP BY le
+""")
+def observed_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters and cumulative buckets that four batches of a stream report of themselves."""
+    folder, totals = scratch(spark, "observed"), metrics.Totals(VALUE_BOUNDS)
+    for stream in lots(spark, sf_dir, folder):
+        seen = metrics.observed(stream, {"errors": F.col("event_type") == "error"}, F.col("value"), VALUE_BOUNDS)
+        running = seen.select("event_id").writeStream.format("parquet").option("checkpointLocation", f"{folder}/progress").option("path", f"{folder}/result").trigger(availableNow=True).start()
+        running.awaitTermination()
+        totals.take(running.recentProgress)
+    found = totals.totals()
+    rows = [(min(b, 1e300), n, int(found["counter_errors"]), round(found["sum"], 4)) for b, n in totals.histogram()]
+    return spark.createDataFrame(rows, "le double, n long, errors long, total double")
+
+
+@query("""
+    WITH so_far AS (SELECT lot, count(*) FILTER (WHERE (day(ts) - 1) // 8 <= lot) AS come, count(*) FILTER (WHERE (day(ts) - 1) // 8 < lot) AS done FROM events, (SELECT unnest(range(4)) AS lot) GROUP BY lot)
+    SELECT lot::INT AS lot, come, come - done AS waiting, 0::BIGINT AS waiting_after, come AS read FROM so_far
+""")
+def queue_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What waits in a queue before and after each of four batches, each read by a stream that starts again."""
+    folder = scratch(spark, "queue")
+    waiting, rows = queue.Queue(spark, f"{folder}/queue"), []
+    for lot in range(4):
+        come = waiting.put(table(spark, sf_dir, "events").where(F.expr("(day(ts) - 1) DIV 8") == lot).select(F.col("event_id").alias("id")))
+        before = waiting.depth()
+        waiting.stream().writeStream.format("parquet").option("checkpointLocation", f"{folder}/progress").option("path", f"{folder}/result").trigger(availableNow=True).start().awaitTermination()
+        waiting.settle(f"{folder}/progress")
+        rows.append((lot, come, before, waiting.depth(), spark.read.parquet(f"{folder}/result").select("id").distinct().count()))
+    return spark.createDataFrame(rows, "lot int, come long, waiting long, waiting_after long, read long")

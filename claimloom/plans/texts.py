@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimloom.functions import masking, text
-from claimloom.functions.signals import SignalRules, signals
+from claimloom.functions.signals import CARE_TERMS, INJURY_TERMS, NEVER_FOLDED, SignalRules, signals
 from claimloom.operators import retrieval
 from claimloom.operators.measures import masking_recall
 from claimloom.plans.registry import query, table
@@ -83,7 +83,7 @@ SIGNAL_SQL = " UNION ALL ".join(
     WITH f AS (SELECT doc_id, lower(translate(text, 'çÇğĞıIİöÖşŞüÜ', 'ccggiiioossuu')) AS folded FROM documents), o AS ({SIGNAL_SQL}),
     kept AS (SELECT DISTINCT doc_id, place, term FROM o WHERE NOT regexp_matches(edge, '[0-9a-z]') AND NOT regexp_matches(before, 'not|never') AND NOT regexp_matches(after, 'not|never')
              AND NOT regexp_matches(rest, '^\s*:\s*(
-|$)') AND NOT regexp_matches(after, '^(\s*(var\s*mi|var\s*miydi|oldu\s*mu)|\s+(mi|mu))'))
+|$)') AND NOT regexp_matches(after, '^(\s*(var\s*mi|var\s*miydi|oldu\s*mu)|\s+(mi|mu)\b)'))
     SELECT doc_id, string_agg(term, ',' ORDER BY place) AS terms FROM kept GROUP BY doc_id
 """)
 def asserted_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,6 +93,61 @@ def asserted_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where(F.size("terms") > 0).select("doc_id", F.array_join("terms", ",").alias("terms"))
 
 
+#: What documents are made to say, one of them each.
+PHRASES = (
+    "Kazada yaralanan oldu.", "Kimse yaralanmadı, yaralanma yok.", "Yaralanma:", "Yaralı var mı?", "hastaneye kaldırıldı", "hastane otoparkında bekliyor", "ambulans çağırdık",
+    "ÖLÜ yok ama KIRIK kol", "bölümde oluştu", "olu taklidi, agri kesici verdiler", "yaralanan", "SEDYE ile götürdüler, kan kaybı vardı",
+)
+
+
+def _turkish_signal_sql() -> str:
+    """Occurrences of every spelling of the terms, with what stands around them in the folded text."""
+    low = lambda t: t.replace("I", "ı").replace("İ", "i").lower()
+    fold = str.maketrans(text.LETTERS_FROM, text.LETTERS_TO)
+    parts = []
+    for k, term in enumerate(INJURY_TERMS):
+        for seen, spelling in (("low", low(term)), *(() if term in NEVER_FOLDED else (("folded", low(term).translate(fold)),))):
+            n = len(spelling)
+            parts.append(f"""SELECT doc_id, {k} AS place, '{term}' AS term, {term in CARE_TERMS} AS care, folded[greatest(1, p - 30):p - 1] AS before, folded[p + {n}:p + {n + 29}] AS after, folded[p + {n}:] AS rest, {seen}[greatest(1, p - 1):p - 1] AS edge
+                FROM (SELECT doc_id, low, folded, unnest(list_transform(range(1, len(string_split({seen}, '{spelling}'))), lambda j: length(array_to_string(string_split({seen}, '{spelling}')[1:j], '{spelling}')) + 1)) AS p FROM f WHERE contains({seen}, '{spelling}'))""")
+    return " UNION ALL ".join(parts)
+
+
+@query(rf"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') || chr(10) || ['{"', '".join(PHRASES)}'][1 + doc_id % {len(PHRASES)}] AS text FROM documents),
+    l AS (SELECT doc_id, lower(translate(text, 'Iİ', 'ıi')) AS low FROM d), f AS (SELECT doc_id, low, translate(low, '{text.LETTERS_FROM}', '{text.LETTERS_TO}') AS folded FROM l), o AS ({_turkish_signal_sql()}),
+    kept AS (SELECT DISTINCT doc_id, place, term FROM o WHERE NOT regexp_matches(edge, '[0-9a-zçğıöşü]') AND NOT regexp_matches(before, 'yok|hayir|yoktu|olmadi|degil') AND NOT regexp_matches(after, 'yok|hayir|yoktu|olmadi|degil')
+             AND NOT regexp_matches(after, '^(di|du|z|yan|yen|yacak|yecek)') AND NOT regexp_matches(rest, '^\s*:\s*(
+|$)') AND NOT regexp_matches(after, '^(\s*(var\s*mi|oldu\s*mu)|\s+(mi|mu)\b)')
+             AND (NOT care OR regexp_matches(rest, '^[a-z]') OR regexp_matches(after, 'cagir|cagr|geld|gelm|kaldir|gotur|sevk|mudahale|takt|verd|cekt|baglad|yazd')))
+    SELECT doc_id, string_agg(term, ',' ORDER BY place) AS terms FROM kept GROUP BY doc_id
+""")
+def injury_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The injuries that documents assert after each has been made to say a Turkish phrase: suffixes, context of care, questions and empty labels."""
+    said = F.element_at(F.array(*map(F.lit, PHRASES)), (F.col("doc_id") % len(PHRASES) + 1).cast("int"))
+    rows = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = rows.select("doc_id", signals(F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), said)).alias("terms"))
+    return found.where(F.size("terms") > 0).select("doc_id", F.array_join("terms", ",").alias("terms"))
+
+
+@query("""
+    WITH k AS (SELECT unnest(['TC', 'PHONE', 'PLATE', 'BADGE', 'all']) AS kind),
+    n AS (SELECT kind, count(*) FILTER (WHERE kind = 'all' OR doc_id % 4 <> list_position(['TC', 'PHONE', 'PLATE', 'BADGE'], kind) - 1) AS docs FROM documents, k GROUP BY kind)
+    SELECT kind, total, masked, round(masked / total, 6) AS recall FROM (
+        SELECT kind, CASE WHEN kind = 'all' THEN (SELECT sum(docs) FROM n WHERE kind <> 'all') ELSE docs END::BIGINT AS total,
+               CASE kind WHEN 'all' THEN (SELECT sum(docs) FROM n WHERE kind NOT IN ('all', 'BADGE')) WHEN 'BADGE' THEN 0 ELSE docs END::BIGINT AS masked FROM n)
+""")
+def planted_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masking recall by kind over documents in which three of four values are planted each; patterns do not know badges."""
+    number = lambda width: F.lpad(F.col("doc_id").cast("string"), width, "0")
+    made = {"TC": F.concat(F.lit("1"), number(10)), "PHONE": F.concat(F.lit("0532"), number(7)), "PLATE": F.concat(F.lit("34 AB "), (F.col("doc_id") % 9000 + 1000).cast("string")), "BADGE": F.concat(F.lit("badge-no-"), F.col("doc_id").cast("string"))}
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = docs.withColumns({k.lower(): F.when(F.col("doc_id") % 4 != n, v) for n, (k, v) in enumerate(made.items())})
+    raw = docs.withColumn("text", F.concat_ws(" | ", *[k.lower() for k in made], "text"))
+    found = masking_recall(masking.with_pattern_masks(raw, "text"), "text", "masked_text", {k: k.lower() for k in made})
+    return found.withColumn("recall", F.round("recall", 6)).select("kind", "total", "masked", "recall")
+
+
 @query("""
     SELECT conv_id, turn, lag(role) OVER w AS before, lead(role) OVER w AS after, string_agg(role, ' ') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS context,
            sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)::BIGINT AS running

@@ -128,6 +128,17 @@ class Queue:
         """Rows that a consumer has not done: it is told of a batch's end when the next one begins, or by settle()."""
         return self.latest() - self.done(consumer)
 
+    def settle(self, checkpoint: str, consumer: str = "worker") -> int:
+        """Take over the offset of the last batch that a stream with this checkpoint has finished, for a stream that ends
+        tells of it only when it starts again. The depth that is left."""
+        store = Store(self.spark, checkpoint)
+        finished = [int(n) for n in store.names("commits") if n.isdigit()]
+        if finished:
+            offset = json.loads(store.text(f"offsets/{max(finished)}").strip().split("\n")[2])["rows"]
+            self.store.remove(f"{DONE}/{consumer}")
+            self.store.put(f"{DONE}/{consumer}", str(offset))
+        return self.depth(consumer)
+
     def stream(self, consumer: str = "worker", segments: int = 0) -> DataFrame:
         """(offset, id) as they come; what is no whole number is passed over."""
         self.spark.dataSource.register(QueueSource)
