@@ -57,7 +57,7 @@ def word_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_dictionary(spark, path)
 
 
-@query("SELECT event_type || ' ' || event_id AS text, CASE WHEN event_id % 10 <> 3 THEN event_id END::INT AS \\"offset\\" FROM events WHERE event_id % 10 <> 7")
+@query("SELECT event_type || ' ' || event_id AS text, CASE WHEN event_id % 10 <> 3 THEN event_id END::INT AS \"offset\" FROM events WHERE event_id % 10 <> 7")
 def delimited_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of a text and a number; those without a separator are left out, and what is no number is null."""
     path, key = scratch(spark, "pairs"), F.col("event_id")
@@ -105,7 +105,7 @@ def compared_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.when(way == 3, "cam").otherwise(F.concat(F.lit(" "), F.initcap("o_orderpriority"), F.lit(" ")))
     injured = F.when(F.col("o_orderstatus") == "F", True)
     rows = table(spark, sf_dir, "orders").select(
-        way.alias("way"), equal_when_normal("plate", plate, found).alias("plate"), equal_when_normal("damage_type", F.col("o_orderpriority"), said).alias("text"),
+        way.alias("way"), equal_when_normal("plate", plate, found).alias("plate"), equal_when_normal("damage_type", F.lower("o_orderpriority"), said).alias("text"),
         equal_when_normal("injury", injured, F.when(way == 0, injured)).alias("injury"),
     )
     return rows.groupBy("way").agg(F.count("*").alias("n"), F.count_if("plate").alias("plates"), F.count_if("text").alias("texts"), F.count_if("injury").alias("injuries"))
