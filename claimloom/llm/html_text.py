@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.runtime import cut_slim
+from claimloom.llm.runtime import cut_slim, fresh
 
 NAME = re.compile(r"(/?)([a-z][a-z0-9:-]*)", re.IGNORECASE)
 PLAIN = re.compile(r"[^>\"']*")
@@ -349,16 +349,17 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     empty pages give empty texts; pages without a host share the empty host; repeated rows vote and stay.
     """
     pages = pages.drop("text")
-    votes = pages.select(host_of(F.col(url_col)).alias("__host"), F.explode(page_votes(F.col(html_col))).alias("__vote"))
-    sums = votes.groupBy("__host", F.col("__vote.path").alias("__path")).agg(F.sum("__vote.share").alias("__votes"))
-    first = F.min(F.struct((-F.round("__votes", 6)).alias("rank"), F.col("__path")))
-    winners = cut_slim(sums.groupBy("__host").agg(first.alias("__first")).select("__host", F.col("__first.__path").alias("__path")))
+    host, path, vote, votes_of, first_of = fresh(pages, "host", "path", "vote", "votes", "first")
+    votes = pages.select(host_of(F.col(url_col)).alias(host), F.explode(page_votes(F.col(html_col))).alias(vote))
+    sums = votes.groupBy(host, F.col(f"{vote}.path").alias(path)).agg(F.sum(f"{vote}.share").alias(votes_of))
+    first = F.min(F.struct((-F.round(votes_of, 6)).alias("rank"), F.col(path).alias("path")))
+    winners = cut_slim(sums.groupBy(host).agg(first.alias(first_of)).select(host, F.col(f"{first_of}.path").alias(path)))
     if winners.count() <= broadcast_hosts:
         winners = F.broadcast(winners)
-    joined = pages.withColumn("__host", host_of(F.col(url_col))).join(winners, "__host", "left")
+    joined = pages.withColumn(host, host_of(F.col(url_col))).join(winners, host, "left")
 
     @F.pandas_udf("string")
     def text(found: pd.Series, paths: pd.Series) -> pd.Series:
         return pd.Series([extract_text(p, path) for p, path in zip(found, paths, strict=True)], dtype=object)
 
-    return joined.withColumn("text", text(F.col(html_col), F.col("__path"))).drop("__host", "__path")
+    return joined.withColumn("text", text(F.col(html_col), F.col(path))).drop(host, path)

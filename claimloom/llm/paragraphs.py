@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimloom.llm.components import connected_components
-from claimloom.llm.runtime import WORD, Scratch, cut, cut_slim, join_by_key, release
+from claimloom.llm.runtime import WORD, Scratch, cut, cut_slim, fresh, join_by_key, release
 from claimloom.llm.sets import set_similarity, spanning_links
 
 #: At a Jaccard similarity of 0.8, a pair shares one of 4 bands of 2 with probability 1 - (1 - 0.8 ** 2) ** 4 = 0.983.
@@ -275,6 +275,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pd.Series(out, dtype=object)
 
     marked = repeated_paragraphs(docs, id_col, text_col, **how).where("removed")
-    gone = marked.groupBy(F.col("doc_id").alias("__of")).agg(F.collect_list(F.struct("position", "words")).alias("__gone"))
-    joined = docs.join(gone, F.col(id_col) == F.col("__of"), "left")
-    return joined.select(*[without(F.col(c), F.col("__gone")).alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    of, ranges = fresh(docs, "of", "gone")
+    gone = marked.groupBy(F.col("doc_id").alias(of)).agg(F.collect_list(F.struct("position", "words")).alias(ranges))
+    joined = docs.join(gone, F.col(id_col) == F.col(of), "left")
+    return joined.select(*[without(F.col(c), F.col(ranges)).alias(c) if c == text_col else F.col(c) for c in docs.columns])

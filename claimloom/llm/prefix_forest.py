@@ -170,7 +170,8 @@ def nearest(
                     rough = q[part] @ x[i:j].T
                     keep = min(2 * k + 2, j - i)
                     best = np.argpartition(-rough, keep - 1, axis=1)[:, :keep]
-                    floor = np.take_along_axis(rough, best, axis=1).min(1) - 1e-9
+                    margin = 1e-12 * np.linalg.norm(q[part], axis=1) * np.linalg.norm(x[i:j], axis=1).max()  # of rounding in products
+                    floor = np.take_along_axis(rough, best, axis=1).min(1) - margin
                     tied = (rough >= floor[:, None]).sum(1) > keep
                     for row, one in enumerate(part):
                         pick = np.flatnonzero(rough[row] >= floor[row]) if tied[row] else best[row]

@@ -49,6 +49,19 @@ def test_recall_where_it_must_search(spark):
     assert np.mean([len(got[q] & {j for j, _ in w}) / 10 for q, w in want.items()]) >= 0.9
 
 
+def test_ties_of_large_products(spark):
+    """Equal products of a million and more are all looked at: ties fall to the smaller id."""
+    draw = np.random.default_rng(6)
+    x = np.round(draw.normal(size=(400, 8)), 1) * 1e7
+    x[1:200] = x[1]
+    vectors = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    want = exact(np.arange(400), x, range(0, 400, 20), 10)
+    got: dict = {}
+    for r in prefix_forest.nearest(vectors, F.col("vec_id") % 20 == 0, k=10).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert {q: [i for i, _ in rows] for q, rows in got.items()} == {q: [i for i, _ in rows] for q, rows in want.items()}
+
+
 def test_edges(spark):
     nan = float("nan")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0]), (4, [0.0, 0.0]), (5, None), (6, [nan, 1.0]), (7, [1.0, None]), (8, [1.0]), (9, [float("inf"), 0.0]), (None, [1.0, 0.0]), (20, [-1.0, 0.0]), (40, None), (60, [])]

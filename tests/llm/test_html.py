@@ -142,3 +142,9 @@ def test_hosts_without_article_vote(spark):
 def test_header_of_an_article_is_text():
     page = f"<body><header>Site</header><article><header><h1>Head</h1><nav>menu</nav></header>{STORY}<footer>end</footer></article></body>"
     assert html_text.extract_text(page, None) == f"Head\n{TOLD}"
+
+
+def test_clashing_columns(spark):
+    rows = [(k, "http://h.example/", f"<body><article>{STORY}</article></body>", 1, 2, 3) for k in range(2)]
+    found = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, HOST int, path int, vote int"))
+    assert found.columns == ["page_id", "url", "html", "HOST", "path", "vote", "text"] and {r["text"] for r in found.collect()} == {TOLD}
