@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from claimloom.llm import decontamination, language_id, line_dedup, mixing, simhash
 from claimloom.llm.queries import MIX_EPOCHS, SOURCE_WEIGHTS
-from claimloom.llm.runtime import checkpoint_dir, fold_bucket, modest_batches, table
+from claimloom.llm.runtime import checkpoint_dir, fold_bucket, fresh, modest_batches, table
 
 #: A document goes if the language that most of its letters have is less probable than this.
 MIN_LANGUAGE_SCORE = 0.3
@@ -22,8 +22,9 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     not looked at."""
     modest_batches(spark)
     model = language_id.train(docs.where(fold_bucket(F.col("doc_id"), 4) != 2))
-    found = docs.withColumn("__found", language_id.language(F.col("text"), model))
-    return found.where((F.col("__found.lang") != language_id.UNKNOWN) & (F.col("__found.score") >= MIN_LANGUAGE_SCORE)).select(docs.columns)
+    (name,) = fresh(docs, "found")
+    found = docs.withColumn(name, language_id.language(F.col("text"), model))
+    return found.where((F.col(f"{name}.lang") != language_id.UNKNOWN) & (F.col(f"{name}.score") >= MIN_LANGUAGE_SCORE)).select(docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
