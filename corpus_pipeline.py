@@ -9,18 +9,23 @@ from pyspark.sql import functions as F
 
 from claimloom.llm import decontamination, language_id, line_dedup, mixing, simhash
 from claimloom.llm.queries import MIX_EPOCHS, SOURCE_WEIGHTS
-from claimloom.llm.runtime import checkpoint_dir, fold_bucket, fresh, modest_batches, table
+from claimloom.llm.runtime import checkpoint_dir, fold_bucket, fresh, lean_workers, modest_batches, table
 
 #: A document goes if the language that most of its letters have is less probable than this.
 MIN_LANGUAGE_SCORE = 0.3
 
 
+def lean(spark: SparkSession) -> None:
+    modest_batches(spark)
+    lean_workers(spark)
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents with a language: those without a letter or a probable language go, null and blank texts too.
 
     Rows stay as they are; repeated rows stay or go together, a table without a language keeps none, and other columns are
     not looked at."""
-    modest_batches(spark)
+    lean(spark)
     model = language_id.train(docs.where(fold_bucket(F.col("doc_id"), 4) != 2))
     (name,) = fresh(docs, "found")
     found = docs.withColumn(name, language_id.language(F.col("text"), model))
@@ -39,13 +44,13 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Keep the document with the least id of each group of equal or similar documents, by five-word shingles.
 
     Null and blank texts are one group; repeated rows leave one; rows without an id stay."""
-    modest_batches(spark)
+    lean(spark)
     return simhash.keep_one(docs, n=5, similarity=0.8)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents that hold no benchmark item; null texts hold none, and without items all rows stay, repeated ones too."""
-    modest_batches(spark)
+    lean(spark)
     return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
