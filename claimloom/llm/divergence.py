@@ -20,6 +20,8 @@ TERM = re.compile(rb"[a-z\x80-\xff]+")
 UNIT_THOUSANDS, DOCUMENT = 3, 1 << 40
 #: Counts that a task holds before it hands them on, groups of a tile, numbers worked on at a time, and groups that are broadcast.
 HELD, TILE, CELLS, BROADCAST = 200_000, 512, 1 << 20, 100_000
+#: Parts in which a group's first terms are found before they meet.
+PARTS = 64
 #: A term is heavy if it occurs in this share of its language's groups.
 HEAVY = 0.25
 
@@ -226,7 +228,9 @@ def source_divergence(docs: DataFrame, text_col: str = "text", lang_col: str = "
     cells = cells.select("group", "lang", "source", "term", share("n", "total").alias("p"), share("lang_n", "lang_total").alias("q")).where("p > q")
     cells = cells.select("group", "lang", "source", F.col("term").alias("item"), F.expr("(p - q) * (p - q) DIV q").alias("value"))
     in_order = [F.desc("value"), "item"]
-    ranked = cells.withColumn("rank", F.row_number().over(Window.partitionBy("group").orderBy(*in_order))).where(F.col("rank") <= top)
+    first = lambda df, *by: df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*in_order))).where(F.col("rank") <= top)
+    shares_of = first(cells.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(PARTS))), "group", "part")  # else a group's task reads `top` rows of every task
+    ranked = first(shares_of.drop("rank", "part"), "group")
     terms = ranked.select("lang", "source", F.lit("term").alias("part"), "item", "value", "rank")
 
     sums = pair_sums(kept, groups, np.maximum(totals, 1))

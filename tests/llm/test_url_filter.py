@@ -45,7 +45,7 @@ def slow(pages):
     cuts = {n: url_filter.cut_name(n, [(b, e - b, shares[n[b:e]]) for b in range(len(n)) for e in range(b + 1, min(len(n), b + 20) + 1) if n[b:e] in shares]) for ns in names.values() for n in ns}
     for n, words in cuts.items():
         assert "".join(words) == n
-        if len(n) <= 12:
+        if len(n) <= 9:
             best, score = best_cut(n, shares)
             assert sum(map(score, words)) == pytest.approx(best)
     words = {h: [w for n in ns for w in cuts[n]] for h, ns in names.items()}
