@@ -262,6 +262,38 @@ def guard_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(s, runs(s)) for s in STATEMENTS], "statement string, runs boolean")
 
 
+#: Questions about a status of orders, and whether the guard lets them run.
+QUESTIONS = (
+    ("SELECT count(*) AS n FROM orders WHERE o_orderstatus = '{}'", True),
+    ("WITH x AS (SELECT * FROM orders WHERE o_orderstatus = '{}') SELECT count(*) AS n FROM x -- one statement", True),
+    ("SELECT count(*) AS n FROM orders WHERE o_orderstatus = '{}'; SELECT 1", False),
+    ("DELETE FROM orders WHERE o_orderstatus = '{}'", False),
+    ("SELECT count(*) AS n FROM orders WHERE o_orderstatus = '{}' UNION SELECT 1", False),
+    ("SELECT count(reflect('java.lang.System', 'gc')) AS n FROM orders WHERE o_orderstatus = '{}'", False),
+    ("SELECT count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = '{}'", False),
+    ("SELECT count(*) AS n FROM (SELECT * FROM parquet.`/tmp/x`) WHERE o_orderstatus = '{}'", False),
+)
+
+
+@query(f"""
+    WITH q AS (SELECT unnest(range({len(QUESTIONS)}))::INT AS question)
+    SELECT o_orderstatus AS status, question, question < 2 AS runs, CASE WHEN question < 2 THEN count(*) END AS n FROM orders, q GROUP BY o_orderstatus, question
+""")
+def guarded_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each question about each status of the table gives: a count, or a refusal."""
+    statuses = [r[0] for r in table(spark, sf_dir, "orders").select("o_orderstatus").distinct().collect()]
+    views = {"orders": lambda s: s.read.parquet(f"{sf_dir}/orders.parquet")}
+
+    def answer(sql: str) -> tuple[bool, int | None]:
+        try:
+            return True, guard.run(guard.guarded_sql(spark, sql, views))[0]["n"]
+        except guard.Refused:
+            return False, None
+
+    rows = [(s, k, *answer(sql.format(s))) for s in statuses for k, (sql, _) in enumerate(QUESTIONS)]
+    return spark.createDataFrame(rows, "status string, question int, runs boolean, n long")
+
+
 @query("SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 100")
 def forced_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A question that asks for more rows than the guard gives."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -182,8 +183,8 @@ def turkish_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def generated_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Masking recall by kind over a generated corpus."""
-    truth = ground_truth(spark, 500)
+    """Masking recall by kind over a corpus with one generated message for each document."""
+    truth = ground_truth(spark, table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("id")))
     texts = render_texts(truth).join(truth, "gt_id").select("gt_id", "text", "personal.*", F.col("expected.plate").alias("plate"))
     masked = masking.with_pattern_masks(texts)
     return masking_recall(masked, "text", "masked_text", {"TC": "tc", "PHONE": "phone", "PLATE": "plate", "NAME": "name"})
@@ -197,3 +198,35 @@ def answered_by_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     question = "the and of with from this"
     hits = retrieval.search(vectors.join(items, "claim_id"), question, retrieval.hashing_encoder)
     return retrieval.snippets(hits, question, retrieval.hashing_encoder, "claim_id", "text").select("claim_id", "score", "snippet")
+
+
+QUESTION = "the and of with from this"
+#: Counts of the 26 letters as SQL, of an expression.
+LETTERS_SQL = "list_transform(range(97, 123), lambda c: (length({0}) - length(replace(lower({0}), chr(c), '')))::DOUBLE)"
+
+
+def letter_encoder() -> retrieval.Encoder:
+    """Counts of letters: an encoder that SQL can express."""
+
+    def encode(texts: list[str]) -> np.ndarray:
+        plain = [t.removeprefix(retrieval.QUERY).removeprefix(retrieval.PASSAGE).lower() for t in texts]
+        return np.array([[t.count(chr(c)) for c in range(97, 123)] for t in plain], float).reshape(len(texts), 26)
+
+    return encode
+
+
+@query(rf"""
+    WITH asked AS (SELECT {LETTERS_SQL.format(f"'{QUESTION}'")} AS qe),
+    hits AS (SELECT item_id, text, list_cosine_similarity({LETTERS_SQL.format("text")}, qe) AS score FROM benchmark, asked ORDER BY score DESC, item_id LIMIT 5),
+    parts AS (SELECT item_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS p FROM hits),
+    s AS (SELECT item_id, unnest(p) AS sentence, generate_subscripts(p, 1) AS place FROM parts),
+    best AS (SELECT item_id, first(sentence ORDER BY round(list_cosine_similarity({LETTERS_SQL.format("sentence")}, qe), 6) DESC, place) AS sentence FROM s, asked GROUP BY item_id)
+    SELECT h.item_id AS claim_id, round(score, 3) AS score, coalesce(b.sentence, left(h.text, 200)) AS snippet FROM hits h LEFT JOIN best b USING (item_id)
+""")
+def letters_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items nearest to a question by their letters, each with its nearest sentence or, without one, its beginning."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("claim_id"), "text")
+    vectors = retrieval.backfill(items, items.where("false"), letter_encoder, dim=26)
+    hits = retrieval.search(vectors.join(items, "claim_id"), QUESTION, letter_encoder)
+    found = retrieval.snippets(hits, QUESTION, letter_encoder, "claim_id", "text", dim=26)
+    return found.select("claim_id", F.round("score", 3).alias("score"), "snippet")

@@ -95,7 +95,12 @@ def test_generator(spark):
     texts = {r["gt_id"]: r for r in generator.render_texts(generator.ground_truth(spark, 400)).collect()}
     for r in one:
         if r["expected"].plate:
-            assert r["expected"].plate in texts[r["gt_id"]]["text"] and "None" not in texts[r["gt_id"]]["text"]
+            assert r["expected"].plate in texts[r["gt_id"]]["text"] and "None" not in texts[r["gt_id"]]["text"] and "{}" not in texts[r["gt_id"]]["text"]
+    assert {r["expected"].incident_location.city for r in one if r["expected"].plate} == {c for c, *_ in generator.CITIES}
+    told = [t["text"] for t in texts.values()]
+    assert all(sum(m.split("{}")[0] in t for t in told) for m in generator.MAILS) and sum(any(c in t for t in told) for c in generator.CALLS) == 0
+    assert sum(any(f"Hasar: {v[3]}" in t for t in told) for v in generator.PHRASES.values()) >= 6
+    assert [r["text"] for r in generator.render_texts(generator.ground_truth(spark, 400).repartition(5)).orderBy("gt_id").collect()] == [texts[k]["text"] for k in sorted(texts)]
 
 
 def test_run_as_one_document(spark, tmp_path):
