@@ -263,7 +263,7 @@ def guard_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Questions about a status of orders, and whether the guard lets them run.
-QUESTIONS = (
+ASKED = (
     ("SELECT count(*) AS n FROM orders WHERE o_orderstatus = '{}'", True),
     ("WITH x AS (SELECT * FROM orders WHERE o_orderstatus = '{}') SELECT count(*) AS n FROM x -- one statement", True),
     ("SELECT count(*) AS n FROM orders WHERE o_orderstatus = '{}'; SELECT 1", False),
@@ -276,7 +276,7 @@ QUESTIONS = (
 
 
 @query(f"""
-    WITH q AS (SELECT unnest(range({len(QUESTIONS)}))::INT AS question)
+    WITH q AS (SELECT unnest(range({len(ASKED)}))::INT AS question)
     SELECT o_orderstatus AS status, question, question < 2 AS runs, CASE WHEN question < 2 THEN count(*) END AS n FROM orders, q GROUP BY o_orderstatus, question
 """)
 def guarded_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -290,7 +290,7 @@ def guarded_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
         except guard.Refused:
             return False, None
 
-    rows = [(s, k, *answer(sql.format(s))) for s in statuses for k, (sql, _) in enumerate(QUESTIONS)]
+    rows = [(s, k, *answer(sql.format(s))) for s in statuses for k, (sql, _) in enumerate(ASKED)]
     return spark.createDataFrame(rows, "status string, question int, runs boolean, n long")
 
 

@@ -202,7 +202,7 @@ def answered_by_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUESTION = "the and of with from this"
 #: Counts of the 26 letters as SQL, of an expression.
-LETTERS_SQL = "list_transform(range(97, 123), lambda c: (length({0}) - length(replace(lower({0}), chr(c), '')))::DOUBLE)"
+LETTERS_SQL = "list_transform(range(97, 123), lambda c: (length({0}) - length(replace(lower({0}), chr(c::INT), '')))::DOUBLE)"
 
 
 def letter_encoder() -> retrieval.Encoder:
