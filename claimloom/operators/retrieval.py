@@ -98,10 +98,10 @@ def search(vectors: DataFrame, question: str, make: Callable[[], Encoder], key:
     return nearest(vectors, question_vector(question, make()), "embedding", key, k)
 
 
-def snippets(hits: DataFrame, question: str, make: Callable[[], Encoder], key: str, text: str, dim: int = 384) -> DataFrame:
+def snippets(hits: DataFrame, question: str, make: Callable[[], Encoder], key: str, text: str, dim: int = 384, split: Callable[[Column], Column] = sentences) -> DataFrame:
     """hits with the sentence of each text that is nearest to the question, the first of equal ones; a text without
-    a sentence gives its beginning."""
-    parts = hits.select(key, F.posexplode(sentences(F.col(text))).alias("position", "sentence"))
+    a sentence gives its beginning. `split` makes sentences of a text."""
+    parts = hits.select(key, F.posexplode(split(F.col(text))).alias("position", "sentence"))
     parts = parts.withColumn("vector", embed(F.col("sentence"), make, dim=dim))
     best = best_of_group(parts, key, question_vector(question, make()), "vector", "position").select(key, F.col("sentence").alias("_best"))
     return hits.join(best, key, "left").withColumn("snippet", F.coalesce("_best", F.substring(text, 1, FALLBACK))).drop("_best")

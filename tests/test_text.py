@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from claimloom.functions import masking, text, vectors
 from claimloom.functions.signals import SignalRules, signals
+from claimloom.plans import registry
+from tests.oracle import assert_same, connect
 
 
 @pytest.fixture(scope="module")
@@ -33,6 +35,20 @@ def test_sentences(value):
     assert value(text.sentences, None) is None
 
 
+def test_plain_sentences(spark, tmp_path):
+    said = ["La casa. No. En una?", " a.\u00a0b\u00a0.\tc! \n", "\nx\u2003", "", " \n", "a.\x0bb. c", None, "No. 5 km. vs. dr."]
+    spark.createDataFrame([(k, 0, t) for k, t in enumerate(said)], "conv_id long, turn long, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    found = registry.QUERIES["split_sentences"](spark, str(tmp_path)).toPandas()
+    assert found.loc[found["conv_id"] == 0, ["sentences", "first"]].values.tolist() == [[3, "La casa."]]
+    assert_same(found, connect(str(tmp_path)).sql(registry.ORACLES["split_sentences"]).df())
+
+
+def test_snippets_of_plain_sentences(spark, tmp_path):
+    spark.createDataFrame([(1, "the and of. No. with from this")], "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = registry.QUERIES["letters_search"](spark, str(tmp_path)).toPandas()
+    assert_same(found, connect(str(tmp_path)).sql(registry.ORACLES["letters_search"]).df())
+
+
 def test_normalisers(value):
     assert value(text.normalize_text, "  İzmir'de ") == "izmir"
     assert value(text.normalize_text, "   ") is None
