@@ -92,57 +92,66 @@ def with_pattern_masks(df: DataFrame, text_col: str = "text", patterns: dict[str
     return df.withColumn("mappings", pattern_mappings(F.col(text_col), patterns)).withColumn("masked_text", apply_mappings(F.col(text_col), F.col("mappings")))
 
 
-def mask_names(df: DataFrame, id_col: str, text_col: str, names: DataFrame, start: Column | None = None) -> DataFrame:
-    """id, masked_text and mappings of texts whose words are names of the dictionary (a column name).
+def with_name_masks(df: DataFrame, id_col: str, text_col: str, names: DataFrame, start: Column | None = None) -> DataFrame:
+    """df with masked_text and mappings of texts whose words are names of the dictionary (a column name).
 
     Words are compared without edge punctuation, folded to ASCII. A name that is a common word counts only beside a
     surname or within LOOKBACK words after a marker. Each occurrence gets a number of its own, after `start`;
-    white space collapses to single blanks. Ids must be distinct. A short dictionary is looked up in each row;
+    white space collapses to single blanks. A short dictionary is looked up in each row, which moves no text;
     with a long one words are exploded and joined, so that neither has to fit anywhere, and only the names found
-    are gathered by text.
+    are gathered by text. Ids must be distinct then, and texts without one are left out.
     """
-    first = F.lit(0) if start is None else start
     listed = names.select(fold_ascii(F.col(names.columns[0])).alias("folded")).where("folded != ''").distinct()
-    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), first.alias("start"), words(F.col(text_col)).alias("words"))
+    texts = df.withColumns({"_start": F.lit(0) if start is None else start, "_words": words(F.col(text_col))})
     few = [r[0] for r in listed.limit(NAMES_IN_ROW + 1).collect()]
     if len(few) <= NAMES_IN_ROW:
-        word = lambda w, k: F.struct(k.alias("pos"), w.alias("word"), F.btrim(w, F.lit(EDGES)).alias("bare"), fold_ascii(F.btrim(w, F.lit(EDGES))).alias("folded"))
-        joined = texts.withColumn("found", F.filter(F.transform("words", word), lambda x: x["folded"].isin(few)))
+        # folding changes no white space, so that a text folded whole has the same words
+        texts = texts.withColumn("_folded", words(fold_ascii(F.col(text_col))))
+        places = F.array_compact(F.transform("_folded", lambda w, k: F.when(F.btrim(w, F.lit(EDGES)).isin(few), k)))
+        word, folded = (lambda k: F.get("_words", k)), (lambda k: F.btrim(F.get("_folded", k), F.lit(EDGES)))
+        named = lambda k: F.struct(k.alias("pos"), word(k).alias("word"), F.btrim(word(k), F.lit(EDGES)).alias("bare"), folded(k).alias("folded"))
+        joined = texts.withColumn("_places", places).withColumn("_found", F.transform("_places", named)).drop("_places", "_folded")
     else:
         bare = F.btrim("word", F.lit(EDGES))
-        tokens = texts.select("id", F.posexplode("words").alias("pos", "word")).select("id", "pos", "word", bare.alias("bare"), fold_ascii(bare).alias("folded"))
-        found = tokens.join(listed, "folded").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "word", "bare", "folded"))).alias("found"))
-        joined = texts.join(found, "id", "left")
+        tokens = texts.select(id_col, F.posexplode("_words").alias("pos", "word")).select(id_col, "pos", "word", bare.alias("bare"), fold_ascii(bare).alias("folded"))
+        found = tokens.join(listed, "folded").groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("pos", "word", "bare", "folded"))).alias("_found"))
+        joined = texts.where(F.col(id_col).isNotNull()).join(found, id_col, "left")
 
     def surname(pos: Column) -> Column:
-        near = lambda k: fold_ascii(F.btrim(F.get("words", k), F.lit(EDGES))).isin(SURNAMES)
+        near = lambda k: fold_ascii(F.btrim(F.get("_words", k), F.lit(EDGES))).isin(SURNAMES)
         return F.coalesce(near(pos + 1), F.lit(False)) | ((pos > 0) & F.coalesce(near(F.greatest(pos - 1, F.lit(0))), F.lit(False)))
 
     def marked(pos: Column) -> Column:
         begin = F.greatest(pos - LOOKBACK, F.lit(0))
-        before = fold_ascii(F.array_join(F.slice("words", begin + 1, pos - begin), " "))
+        before = fold_ascii(F.array_join(F.slice("_words", begin + 1, pos - begin), " "))
         return before.rlike("|".join(NAME_MARKERS))
 
     ambiguous = lambda x: x["folded"].isin(AMBIGUOUS_NAMES)
-    joined = joined.withColumn("found", F.filter("found", lambda x: ~ambiguous(x) | surname(x["pos"]) | marked(x["pos"])))
-    placeholder = lambda k: F.concat(F.lit("[NAME_"), (F.col("start") + k + 1).cast("string"), F.lit("]"))
-    begins = lambda k: F.when(k > 0, F.get("found", F.greatest(k - 1, F.lit(0)))["pos"] + 1).otherwise(0)
-    until = lambda x, k: F.slice("words", begins(k) + 1, x["pos"] - begins(k))
-    pieces = F.flatten(F.transform("found", lambda x, k: F.concat(until(x, k), F.array(F.replace(x["word"], x["bare"], placeholder(k))))))
-    rest = F.element_at("found", -1)["pos"] + 1
-    masked = F.array_join(F.concat(pieces, F.slice("words", rest + 1, F.size("words") - rest)), " ")
-    mappings = F.transform("found", lambda x, k: F.struct(placeholder(k).alias("placeholder"), x["bare"].alias("real_value"), F.lit("NAME").alias("pii_type")))
-    some = F.coalesce(F.size("found"), F.lit(0)) > 0
-    return joined.select(
-        F.col("id").alias(id_col),
-        F.when(some, masked).otherwise(F.array_join("words", " ")).alias("masked_text"),
-        F.when(some, mappings).otherwise(F.array().cast(MAPPINGS)).alias("mappings"),
-    )
+    joined = joined.withColumn("_found", F.filter("_found", lambda x: ~ambiguous(x) | surname(x["pos"]) | marked(x["pos"])))
+    placeholder = lambda k: F.concat(F.lit("[NAME_"), (F.col("_start") + k + 1).cast("string"), F.lit("]"))
+    begins = lambda k: F.when(k > 0, F.get("_found", F.greatest(k - 1, F.lit(0)))["pos"] + 1).otherwise(0)
+    until = lambda x, k: F.slice("_words", begins(k) + 1, x["pos"] - begins(k))
+    pieces = F.flatten(F.transform("_found", lambda x, k: F.concat(until(x, k), F.array(F.replace(x["word"], x["bare"], placeholder(k))))))
+    rest = F.element_at("_found", -1)["pos"] + 1
+    masked = F.array_join(F.concat(pieces, F.slice("_words", rest + 1, F.size("_words") - rest)), " ")
+    mappings = F.transform("_found", lambda x, k: F.struct(placeholder(k).alias("placeholder"), x["bare"].alias("real_value"), F.lit("NAME").alias("pii_type")))
+    some = F.coalesce(F.size("_found"), F.lit(0)) > 0
+    masks = {"masked_text": F.when(some, masked).otherwise(F.array_join("_words", " ")), "mappings": F.when(some, mappings).otherwise(F.array().cast(MAPPINGS))}
+    return joined.withColumns(masks).drop("_start", "_words", "_found")
+
+
+def mask_names(df: DataFrame, id_col: str, text_col: str, names: DataFrame, start: Column | None = None) -> DataFrame:
+    """id, masked_text and mappings of texts, as with_name_masks() gives them."""
+    texts = df.select(F.col(id_col), F.col(text_col).alias("_text"), (F.lit(0) if start is None else start).alias("_first"))
+    return with_name_masks(texts, id_col, "_text", names, F.col("_first")).select(id_col, "masked_text", "mappings")
+
+
+def with_all_masks(df: DataFrame, id_col: str, text_col: str, names: DataFrame) -> DataFrame:
+    """df with masked_text and mappings: patterns first, then names in what the patterns left. Each text is read once, and not joined with itself."""
+    by_pattern = with_pattern_masks(df, text_col).withColumnRenamed("mappings", "_by_pattern")
+    return with_name_masks(by_pattern, id_col, "masked_text", names).withColumn("mappings", F.concat("_by_pattern", "mappings")).drop("_by_pattern")
 
 
 def mask_all(df: DataFrame, id_col: str, text_col: str, names: DataFrame) -> DataFrame:
-    """id, masked_text and mappings: patterns first, then names in what the patterns left."""
-    by_pattern = with_pattern_masks(df.select(id_col, text_col), text_col)
-    by_name = mask_names(by_pattern, id_col, "masked_text", names)
-    joined = by_pattern.select(id_col, F.col("mappings").alias("first")).join(by_name, id_col)
-    return joined.select(id_col, "masked_text", F.concat("first", "mappings").alias("mappings"))
+    """id, masked_text and mappings, as with_all_masks() gives them."""
+    return with_all_masks(df.select(id_col, text_col), id_col, text_col, names).select(id_col, "masked_text", "mappings")

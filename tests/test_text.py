@@ -197,3 +197,11 @@ def test_ten_thousand_terms(spark, sf):
         return time.process_time() - began
 
     assert seconds(many) < 40 * seconds(few) + 2  # 3000 times as many terms
+
+
+def test_masking_joins_no_text(spark):
+    """A short dictionary masks each text where it is: no join and no shuffle."""
+    df = spark.createDataFrame([(1, "Ali 0532 111 22 33"), (1, "“Ali” ΑΣ. (veli)"), (None, None)], "id int, text string")
+    found = masking.mask_all(df, "id", "text", spark.createDataFrame([("ali",), ("Veli",), ("ας",)], "name string"))
+    assert "Join" not in (plan := found._jdf.queryExecution().optimizedPlan().toString()) and "Aggregate" not in plan
+    assert sorted(str(r[0]) for r in found.select("masked_text").collect()) == ["None", "[NAME_1] [PHONE_1]", "“Ali” [NAME_1]. ([NAME_2])"]
