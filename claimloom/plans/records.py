@@ -14,7 +14,7 @@ from claimloom.operators.rules import sanity_flags
 from claimloom.plans.registry import query, table
 from claimloom.sources import files
 from claimloom.sources.generator import relative_day
-from claimloom.sources.shared import scratch
+from claimloom.sources.shared import modest_batches, scratch
 from claimloom.streaming import triage
 
 
@@ -183,7 +183,10 @@ def unwrapped_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM documents
 """)
 def triaged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as messages: those of one source are claims, only claims are extracted, those without text go to the dead letter, and the audit has a row a step."""
+    """Documents as messages: those of one source are claims, only claims are extracted, those without text go to the dead letter, and the audit has a row a step.
+
+    Each document is triaged once: its steps are counted where it is, and not joined to it."""
+    modest_batches(spark)
     docs = files.spread(table(spark, sf_dir, "documents"))
     messages = docs.select(F.col("doc_id").alias("id"), F.lit("email").alias("channel"), F.col("text").alias("raw_text"), F.col("source").alias("external_ref"), F.lit("2026-01-01").cast("timestamp").alias("received_at"))
     recorded = lambda rows: spark.createDataFrame([(k, json.dumps(v)) for k, v in rows], "external_ref string, payload string")
@@ -192,5 +195,4 @@ def triaged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         recorded([("*", {"damage_type": "collision", "policy_no": "POL-2026-00001", "quotes": {}})]),
     )
     done = triage.triage(messages, answers, spark.createDataFrame([("ahmet",)], "name string"))
-    steps = triage.audit_rows(done, F.lit("2026-01-01").cast("timestamp")).groupBy(F.col("raw_message_id").alias("id")).agg(F.count("*").cast("int").alias("steps"))
-    return done.select("id", "status", "error", "content_type", F.col("extraction").isNotNull().alias("extracted")).join(steps, "id")
+    return done.select("id", "status", "error", "content_type", F.col("extraction").isNotNull().alias("extracted"), F.size(triage.audit_steps()).alias("steps"))

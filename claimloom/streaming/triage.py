@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from claimloom.functions.isolated import Function, isolated
-from claimloom.functions.masking import mask_all, unmask_struct
+from claimloom.functions.masking import unmask_struct, with_all_masks
 from claimloom.functions.signals import signals
 from claimloom.functions.text import locate_quote
 from claimloom.operators.joins import latest
@@ -84,8 +84,7 @@ def triage(messages: DataFrame, answers: Answers, names: DataFrame, auto_approve
     review, a sanity check without a verdict counts as a leak; flags of the check never hold text. A message that is no
     claim is not extracted. Messages without text, and those on which the rules themselves fail, have status dead_letter.
     """
-    masked = messages.join(mask_all(messages.select("id", "raw_text"), "id", "raw_text", names), "id")
-    masked = masked_further(masked, answers.masking)
+    masked = masked_further(with_all_masks(messages, "id", "raw_text", names), answers.masking)
     read = answered(masked, answers.classification, CLASSIFICATION, "model", "classification")
     read = answered(read, answers.extraction, EXTRACTION, "found", "extraction").withColumn("_failed_masking_sanity", F.lit(None).cast("string"))
     leak, sanity = F.lit(False), F.array().cast(SANITY_FLAGS)
@@ -116,8 +115,8 @@ def filled_fields(extraction: Column) -> Column:
     return filled_names({n: extraction[n] for n in names} | {f"incident_location.{n}": extraction["incident_location"][n] for n in ("city", "district")})
 
 
-def audit_rows(triaged: DataFrame, at: Column) -> DataFrame:
-    """One row a step that a message went through: raw_message_id, step, detail (JSON), created_at."""
+def audit_steps() -> Column:
+    """The steps that a triaged message went through, as array<struct(step, detail as JSON)>."""
     steps = [
         ("masking", F.to_json(F.struct(F.size("mappings").alias("masked"))), F.lit(True)),
         ("masking_sanity", F.to_json(F.struct("sanity")), F.size("sanity") > 0),
@@ -129,7 +128,12 @@ def audit_rows(triaged: DataFrame, at: Column) -> DataFrame:
     ]
     rows = F.array_compact(F.array(*[F.when(when, F.struct(F.lit(s).alias("step"), d.alias("detail"))) for s, d, when in steps]))
     failed = F.transform("failures", lambda f: F.struct(F.concat(f["step"], F.lit("_error")).alias("step"), F.to_json(F.struct(f["kind"].alias("kind"))).alias("detail")))
-    return triaged.select(F.col("id").alias("raw_message_id"), F.inline(F.concat(rows, failed)), at.alias("created_at"))
+    return F.concat(rows, failed)
+
+
+def audit_rows(triaged: DataFrame, at: Column) -> DataFrame:
+    """One row a step that a message went through: raw_message_id, step, detail (JSON), created_at."""
+    return triaged.select(F.col("id").alias("raw_message_id"), F.inline(audit_steps()), at.alias("created_at"))
 
 
 def with_vectors(triaged: DataFrame, encoder: Callable[[], Encoder] | None, dim: int) -> DataFrame:

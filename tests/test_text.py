@@ -205,3 +205,11 @@ def test_masking_joins_no_text(spark):
     found = masking.mask_all(df, "id", "text", spark.createDataFrame([("ali",), ("Veli",), ("ας",)], "name string"))
     assert "Join" not in (plan := found._jdf.queryExecution().optimizedPlan().toString()) and "Aggregate" not in plan
     assert sorted(str(r[0]) for r in found.select("masked_text").collect()) == ["None", "[NAME_1] [PHONE_1]", "“Ali” [NAME_1]. ([NAME_2])"]
+
+
+def test_documents_are_triaged_once(spark, tmp_path):
+    rows = [(1, "Ahmet aradı", "en", "src0"), (1, "x", "en", "src1"), (2, "  ", "en", "src0"), (3, None, None, None), (None, "y", "en", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    found = registry.QUERIES["triaged_documents"](spark, str(tmp_path))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 1
+    assert_same(found.toPandas(), connect(str(tmp_path)).sql(registry.ORACLES["triaged_documents"]).df())
