@@ -172,12 +172,10 @@ def streamed_gauges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many users have each status as their last, after each of four lots, from the differences that the lots make."""
     folder = scratch(spark, "gauges")
     counts, found = gauges.Gauges(spark, f"{folder}/counts"), None
-    with gauges.rocks(spark):
-        for lot, stream in enumerate(lots(spark, sf_dir, folder)):
-            moved = gauges.changes(stream, "user_id", "event_type", "ts", "event_id")
-            counts.written_by(moved, f"{folder}/progress").trigger(availableNow=True).start().awaitTermination()
-            after = counts.read().withColumn("lot", F.lit(lot))
-            found = after if found is None else found.unionByName(after)
+    for lot, stream in enumerate(lots(spark, sf_dir, folder)):
+        counts.following(stream, "user_id", "event_type", "ts", "event_id", f"{folder}/progress").trigger(availableNow=True).start().awaitTermination()
+        after = counts.read().withColumn("lot", F.lit(lot))
+        found = after if found is None else found.unionByName(after)
     return found
 
 

@@ -103,6 +103,26 @@ def test_gauges_move_by_difference_and_go_stale(spark, tmp_path):
     assert counts.read(1).collect() == before
 
 
+def test_gauges_follow_a_stream_by_batches(spark, tmp_path):
+    """Late, equal and repeated events, a tie by number and a batch that is run again."""
+    lots = [
+        [(1, "review", 0, 9), (1, "approved", 0, 10), (2, "review", 1, 2), (None, "review", 3, 4), (7, None, 3, 4)],
+        [(1, "review", 60, 11), (3, "review", 61, 6), (2, "rejected", 0, 7), (2, "rejected", 1, 2)],
+        [(3, "approved", 62, 8), (3, "approved", 62, 8)],
+    ]
+    counts, seen = gauges.Gauges(spark, f"{tmp_path}/counts"), []
+    follow = lambda stream, at: counts.following(stream, "k", "status", "ts", "e", f"{tmp_path}/{at}", 4).trigger(availableNow=True).start()
+    for lot in lots:
+        spark.createDataFrame([(k, s, at(m), e) for k, s, m, e in lot], "k long, status string, ts timestamp, e long").write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema("k long, status string, ts timestamp, e long").parquet(f"{tmp_path}/in")
+        (running := follow(stream, "progress")).awaitTermination()
+        assert not any(p["stateOperators"] for p in running.recentProgress)  # no key is taken alone
+        seen.append({r["status"]: r["n"] for r in counts.read().collect()})
+    assert seen == [{"approved": 1, "review": 1}, {"review": 3}, {"review": 2, "approved": 1}]
+    follow(stream, "again").awaitTermination()  # its batch 0 is not beyond the last one
+    assert {r["status"]: r["n"] for r in counts.read().collect()} == seen[-1]
+
+
 def test_waits_of_tables(spark):
     routed = spark.createDataFrame([(1, at(0), 10), (1, at(5), 11), (2, at(0), 12), (None, at(0), 13)], "k long, ts timestamp, e long")
     decided = spark.createDataFrame([(1, at(6), 20), (2, at(-1), 21), (2, at(90), 22), (None, at(1), 23)], "k long, ts timestamp, e long")
